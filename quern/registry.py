@@ -7,13 +7,290 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import octree as cells
+from quern.functions.text import index_word, lines, parse_integer, tokens
+from quern.metrics import counted
+from quern.operators import aggregates, graph, joins, octree, skew
+from quern.operators.kv import KVDataset
+from quern.plans.workloads import word_count, word_count_combined, words
+from quern.sources.binary import packed, unpacked
+from quern.sources.generators import zipf_ranks, zipf_weights
+from quern.sources.text import formatted
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def wordcount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split(F.translate("text", "\n", " "), " ")).alias("word"))
-    return words.where((F.col("word") != "") & (F.octet_length("word") < 1024)).groupBy("word").agg(F.count("*").alias("cnt"))
+def query(sql: str):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[fn.__name__], ORACLES[fn.__name__] = fn, sql
+        return fn
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_WORDS = "(SELECT word FROM (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS word FROM documents) WHERE word <> '' AND strlen(word) < 1024)"
+
+
+@query(f"SELECT word, count(*) AS cnt FROM {_WORDS} GROUP BY word")
+def wordcount(spark, d):
+    return word_count(_t(spark, d, "documents"))
+
+
+@query(f"SELECT word, count(*) AS cnt FROM {_WORDS} GROUP BY word")
+def wordcount_combiner(spark, d):
+    return word_count_combined(_t(spark, d, "documents"))
+
+
+@query(f"SELECT DISTINCT word FROM {_WORDS}")
+def word_distinct(spark, d):
+    return aggregates.distinct_keys(words(_t(spark, d, "documents")), ["word"])
+
+
+@query(f"SELECT count(DISTINCT word) AS n FROM {_WORDS}")
+def word_count_distinct(spark, d):
+    return aggregates.count_distinct_keys(words(_t(spark, d, "documents")), ["word"])
+
+
+@query("SELECT doc_id, len(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda w: w <> '' AND strlen(w) < 1024)) AS n_tokens FROM documents")
+def map_only_tokens(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.size(tokens(F.translate("text", "\n", " "))).cast("long").alias("n_tokens"))
+
+
+@query("SELECT doc_id, len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) OR text = '' THEN 1 ELSE 0 END AS n_lines FROM documents")
+def line_records(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.size(lines(F.col("text"))).cast("long").alias("n_lines"))
+
+
+@query("SELECT conv_id AS src, turn AS dst FROM conversations WHERE conv_id <> turn")
+def self_loop_filter(spark, d):
+    pairs = _t(spark, d, "conversations").selectExpr("cast(conv_id AS string) AS key", "cast(turn AS string) AS value")
+    return graph.edges_of(pairs)
+
+
+@query("SELECT nationkey, count(*) AS n FROM (SELECT c_nationkey AS nationkey FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY nationkey")
+def union_inputs(spark, d):
+    both = joins.union_all(_t(spark, d, "customer").selectExpr("c_nationkey AS nationkey"), _t(spark, d, "supplier").selectExpr("s_nationkey AS nationkey"))
+    return both.groupBy("nationkey").agg(F.count("*").alias("n"))
+
+
+def _quantities(spark, d):
+    return _t(spark, d, "lineitem").selectExpr("l_partkey AS key", "cast(l_quantity AS bigint) AS q")
+
+
+@query("SELECT l_partkey AS key, sum(l_quantity::BIGINT)::BIGINT AS v FROM lineitem GROUP BY 1")
+def combine_sum(spark, d):
+    return aggregates.combine(_quantities(spark, d), ["key"], v=F.sum("q"))
+
+
+@query("SELECT l_partkey AS key, min(l_quantity::BIGINT) AS v FROM lineitem GROUP BY 1")
+def combine_min(spark, d):
+    return aggregates.combine(_quantities(spark, d), ["key"], v=F.min("q"))
+
+
+@query("SELECT l_partkey AS key, max(l_quantity::BIGINT) AS v FROM lineitem GROUP BY 1")
+def combine_max(spark, d):
+    return aggregates.combine(_quantities(spark, d), ["key"], v=F.max("q"))
+
+
+@query("SELECT l_suppkey AS key, count(*) AS cnt FROM lineitem GROUP BY 1 HAVING count(*) > 600")
+def group_having(spark, d):
+    return aggregates.count_by(_t(spark, d, "lineitem").selectExpr("l_suppkey AS key"), ["key"], above=600)
+
+
+@query("SELECT key, sum((q > m)::INT)::BIGINT AS n FROM (SELECT l_partkey AS key, l_quantity AS q, avg(l_quantity) OVER (PARTITION BY l_partkey) AS m FROM lineitem) GROUP BY key")
+def reduce_multi_pass(spark, d):
+    return aggregates.reduce_above_mean(_quantities(spark, d), "key", "q")
+
+
+@query("SELECT key, count(*) AS n FROM (SELECT l_partkey AS key, l_quantity AS q, avg(l_quantity) OVER (PARTITION BY l_partkey) AS m FROM lineitem) WHERE q > m GROUP BY key")
+def reduce_callback(spark, d):
+    def above(key: tuple, values: list[tuple]):
+        mean = sum(v for v, in values) / len(values)
+        if n := sum(v > mean for v, in values):
+            yield key[0], n
+
+    return KVDataset(_quantities(spark, d), ("key",)).reduce(above, "key long, n long").df
+
+
+_SIDES = "(SELECT user_id AS k, event_id AS v1 FROM events WHERE event_id % 2 = 0) a JOIN (SELECT user_id AS k, event_id AS v2 FROM events WHERE event_id % 2 = 1) b USING (k)"
+
+
+def _sides(spark, d):
+    e = _t(spark, d, "events")
+    return e.where("event_id % 2 = 0").selectExpr("user_id AS k", "event_id AS v1"), e.where("event_id % 2 = 1").selectExpr("user_id AS k", "event_id AS v2")
+
+
+@query(f"SELECT k, v1, v2 FROM {_SIDES}")
+def join_inner(spark, d):
+    return joins.inner(*_sides(spark, d), "k")
+
+
+@query(f"SELECT k, v1, v2 FROM {_SIDES}")
+def join_split(spark, d):
+    return joins.split(*_sides(spark, d), "k", parts=128)
+
+
+@query("SELECT o_orderkey, c_custkey, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def join_broadcast(spark, d):
+    nation = _t(spark, d, "nation").selectExpr("n_nationkey AS c_nationkey", "n_name")
+    customers = joins.with_small(_t(spark, d, "customer").select("c_custkey", "c_nationkey"), nation, "c_nationkey")
+    orders = _t(spark, d, "orders").selectExpr("o_orderkey", "o_custkey AS c_custkey")
+    return joins.inner(orders, customers, "c_custkey").select("o_orderkey", "c_custkey", "n_name")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0)")
+def anti_join(spark, d):
+    return joins.lacking(_t(spark, d, "customer").select("c_custkey"), _t(spark, d, "orders").where("o_orderkey % 7 = 0").selectExpr("o_custkey AS c_custkey"), "c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0)")
+def semi_join(spark, d):
+    return joins.having(_t(spark, d, "customer").select("c_custkey"), _t(spark, d, "orders").where("o_orderkey % 7 = 0").selectExpr("o_custkey AS c_custkey"), "c_custkey")
+
+
+@query("SELECT event_type AS k, count(*) AS cnt FROM events GROUP BY 1 HAVING count(*) * 8 > 0.8 * (SELECT count(*) FROM events)")
+def heavy_keys(spark, d):
+    return skew.heavy_keys(_t(spark, d, "events").selectExpr("event_type AS k"), "k", 8)
+
+
+@query("SELECT min_cnt, max_cnt, max_cnt >= 1024 AND max_cnt > 1.5 * min_cnt AS imbalanced FROM (SELECT min(c) AS min_cnt, max(c) AS max_cnt FROM (SELECT count(*) AS c FROM events GROUP BY user_id % 8))")
+def skew_report(spark, d):
+    return skew.skew_report(_t(spark, d, "events"), F.col("user_id") % 8)
+
+
+@query("""SELECT part, count(*) AS n FROM (SELECT CASE WHEN v < e THEN v // (w + 1) ELSE x + (v - e) // w END AS part FROM
+(SELECT o_orderkey % 1003 AS v, 1003 // 8 AS w, 1003 % 8 AS x, (1003 // 8 + 1) * (1003 % 8) AS e FROM orders)) GROUP BY part""")
+def partition_block(spark, d):
+    o = _t(spark, d, "orders").select((F.col("o_orderkey") % 1003).alias("v"))
+    return skew.dealt_by(o.withColumn("part", skew.block_of(F.col("v"), 1003, 8)), F.col("part"), 8).groupBy(F.col("part").cast("long").alias("part")).agg(F.count("*").alias("n"))
+
+
+_EDGES = "(SELECT DISTINCT l_orderkey * 2 AS s, l_partkey * 2 + 1 AS d FROM lineitem WHERE l_orderkey < 600)"
+_BFS = f"""WITH RECURSIVE l AS {_EDGES}, ed AS (SELECT s, d FROM l UNION ALL SELECT d, s FROM l),
+b(v, lvl) AS (SELECT (SELECT min(s) FROM ed), 0 UNION SELECT ed.d, b.lvl + 1 FROM b JOIN ed ON b.v = ed.s WHERE b.lvl < 20),
+lv AS (SELECT v, min(lvl) AS lvl FROM b GROUP BY v),
+t AS (SELECT lv.v, coalesce((SELECT min(e.s) FROM ed e JOIN lv p ON p.v = e.s WHERE e.d = lv.v AND p.lvl = lv.lvl - 1), lv.v) AS parent, lv.lvl AS level FROM lv) """
+
+
+def _graph(spark, d):
+    one = _t(spark, d, "lineitem").where("l_orderkey < 600").selectExpr("l_orderkey * 2 AS src", "l_partkey * 2 + 1 AS dst").distinct()
+    return one.union(one.selectExpr("dst AS src", "src AS dst"))
+
+
+def _tree(spark, d):
+    edges = _graph(spark, d)
+    root = edges.agg(F.min("src")).first()[0]
+    return edges, graph.search(edges, root, 20)
+
+
+@query(f"WITH l AS {_EDGES} SELECT v, count(*) AS deg FROM (SELECT s AS v FROM l UNION ALL SELECT d FROM l) GROUP BY v")
+def degree(spark, d):
+    return graph.degrees(_graph(spark, d))
+
+
+@query(_BFS + "SELECT v, parent, level FROM t")
+def bfs_levels(spark, d):
+    return _tree(spark, d)[1]
+
+
+@query(_BFS + "SELECT r.v, coalesce(t.parent, -1) AS pred FROM (SELECT unnest(range(0, 4300))::BIGINT AS v) r LEFT JOIN t ON t.v = r.v")
+def bfs_all_vertices(spark, d):
+    return graph.all_vertices(_tree(spark, d)[1], spark.range(4300).select(F.col("id").alias("v")))
+
+
+@query(_BFS + "SELECT t.level, count(*) AS n FROM t JOIN ed ON ed.s = t.v GROUP BY t.level")
+def bfs_frontier_counts(spark, d):
+    edges, tree = _tree(spark, d)
+    return graph.candidates_by_level(tree, edges)
+
+
+_CELL = "least(32767, greatest(0, ceil(embedding[{}]::DOUBLE * 10 * 4096)::BIGINT - 1 + 16384))"
+_POINTS = f"(SELECT vec_id, {_CELL.format(1)} AS px, {_CELL.format(2)} AS py, {_CELL.format(3)} AS pz FROM embeddings)"
+_DENSE = f"""(SELECT level, px >> (15 - level)::INT AS ix, py >> (15 - level)::INT AS iy, pz >> (15 - level)::INT AS iz, count(*) AS cnt
+FROM (SELECT px, py, pz, unnest(range(0, 16))::INT AS level FROM {_POINTS}) GROUP BY ALL
+HAVING count(*) > (SELECT trunc(count(*) * CAST(0.01 AS DOUBLE))::BIGINT FROM embeddings))"""
+
+
+def _points(spark, d):
+    return _t(spark, d, "embeddings").selectExpr("vec_id", *[f"cast(embedding[{i}] AS double) * 10 AS {c}" for i, c in enumerate("xyz")])
+
+
+@query("SELECT vec_id, " + " || ".join(f"((px >> {14 - i}) % 2 + 2 * ((py >> {14 - i}) % 2) + 4 * ((pz >> {14 - i}) % 2))::VARCHAR" for i in range(15)) + f" AS octkey FROM {_POINTS}")
+def octree_keys(spark, d):
+    return _points(spark, d).select("vec_id", cells.key(*[cells.cell(F.col(c)) for c in "xyz"]).alias("octkey"))
+
+
+@query(f"SELECT level, ix, iy, iz, cnt FROM {_DENSE}")
+def octree_level_counts(spark, d):
+    return octree.dense_octants(_points(spark, d), 0.01)
+
+
+@query("SELECT " + ", ".join(f"-4 + i{c} * 8 / 2.0::DOUBLE ** level AS min{c}, -4 + (i{c} + 1) * 8 / 2.0::DOUBLE ** level AS max{c}" for c in "xyz") + f", cnt FROM {_DENSE} WHERE level = (SELECT max(level) FROM {_DENSE})")
+def octree_clusters(spark, d):
+    return octree.clusters(_points(spark, d), 0.01)
+
+
+@query("WITH c AS (SELECT r AS rank, sum(1.0::DOUBLE / r) OVER (ORDER BY r) AS s FROM (SELECT unnest(range(1, 101))::BIGINT AS r)) SELECT rank, round(s / (SELECT max(s) FROM c), 9) AS cdf FROM c")
+def zipf_cdf(spark, d):
+    return zipf_weights(spark, 100, 1.0).select("rank", F.round("cdf", 9).alias("cdf"))
+
+
+@query("""WITH c AS (SELECT r AS rank, sum(1.0::DOUBLE / r) OVER (ORDER BY r) AS s FROM (SELECT unnest(range(1, 101))::BIGINT AS r)),
+e AS (SELECT rank, s / (SELECT max(s) FROM c) AS hi, coalesce(lag(s) OVER (ORDER BY rank) / (SELECT max(s) FROM c), 0) AS lo FROM c),
+u AS (SELECT (event_id * 7919 % 10007 + 0.5) / 10007 AS u FROM events)
+SELECT rank, count(*) AS cnt FROM u JOIN e ON u.u >= e.lo AND u.u < e.hi GROUP BY rank""")
+def zipf_sample(spark, d):
+    cdf = [r.cdf for r in zipf_weights(spark, 100, 1.0).orderBy("rank").collect()]  # of a dictionary of 100
+    u = (F.col("event_id") * 7919 % 10007 + 0.5) / 10007
+    return _t(spark, d, "events").select(zipf_ranks(cdf, u).alias("rank")).groupBy("rank").agg(F.count("*").alias("cnt"))
+
+
+_DIGITS = "substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', (p_partkey // {})::INT % 62 + 1, 1)"
+
+
+@query("SELECT p_partkey AS idx, " + " || ".join(_DIGITS.format(62**k) for k in range(4)) + " AS word FROM part")
+def index_words(spark, d):
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("idx"), index_word(F.col("p_partkey"), 4).alias("word"))
+
+
+@query("SELECT p_partkey AS idx, CASE p_partkey % 3 WHEN 0 THEN p_partkey ELSE p_partkey END AS n FROM part")
+def parsed_integers(spark, d):
+    """Part keys written in hexadecimal, octal or decimal, and read back."""
+    k = F.col("p_partkey")
+    text = F.when(k % 3 == 0, F.concat(F.lit("0x"), F.hex(k))).when(k % 3 == 1, F.concat(F.lit("0"), F.conv(k.cast("string"), 10, 8))).otherwise(F.concat(k.cast("string"), F.lit("x9")))
+    return _t(spark, d, "part").select(k.alias("idx"), parse_integer(text).alias("n"))
+
+
+@query(f"SELECT word || ' ' || count(*)::VARCHAR AS value FROM {_WORDS} GROUP BY word")
+def text_format(spark, d):
+    return wordcount(spark, d).select(formatted(wordcount(spark, d)).alias("value"))
+
+
+@query("SELECT l_orderkey AS k, l_quantity AS v FROM lineitem")
+def binary_round_trip(spark, d):
+    rows = _t(spark, d, "lineitem").selectExpr("l_orderkey AS k", "l_quantity AS v")
+    return unpacked(packed(rows), "k long, v double")
+
+
+@query(f"SELECT (SELECT count(*) FROM documents) AS n_in, (SELECT count(*) FROM {_WORDS}) AS n_kv, (SELECT count(DISTINCT word) FROM {_WORDS}) AS n_kmv, (SELECT count(DISTINCT word) FROM {_WORDS}) AS n_out")
+def record_counts(spark, d):
+    docs, n_in = counted(_t(spark, d, "documents"), "n_in")
+    kv, n_kv = counted(words(docs), "n_kv")
+    out, n_out = counted(kv.groupBy("word").agg(F.count("*").alias("cnt")), "n_out")
+    out.write.format("noop").mode("overwrite").save()
+    n = n_out.get["records"]
+    return spark.sql(f"SELECT {n_in.get['records']}L AS n_in, {n_kv.get['records']}L AS n_kv, {n}L AS n_kmv, {n}L AS n_out")
 
 
-QUERIES["wordcount"] = wordcount
+@query("SELECT part, c_nationkey AS k, sum(n)::BIGINT AS n FROM (SELECT c_custkey % 4 AS part, c_nationkey, 1 AS n FROM customer) GROUP BY ALL")
+def local_reduce(spark, d):
+    """Groups within a part that the data names, before any exchange by key."""
+    c = _t(spark, d, "customer").selectExpr("cast(c_custkey % 4 AS bigint) AS part", "c_nationkey AS k")
+    return skew.dealt_by(c, F.col("part"), 4).groupBy("part", "k").agg(F.count("*").alias("n"))
