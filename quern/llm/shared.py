@@ -1,13 +1,12 @@
-"""What the operators of this package share: tables, the shared folder, words and learning folds."""
+"""What the operators of this package share: tables, words and learning folds."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.storage import materialize  # noqa: F401  the operators take it from here
+
 #: Words are runs of anything but ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,29 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or the context's; where neither is set (tests), a new temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quern-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read again.
-
-    It cuts lineage (a lost executor costs a re-read, not a recomputation), gives Catalyst real sizes to choose joins
-    by, and lets several consumers share one pass over the texts. Files go when the session's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remainder_is(doc_id: str, mod: int, rest: int) -> Column:
     """True where crc32(doc_id as text) mod `mod` is `rest`, and for a null doc_id: such rows are never learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod == rest, F.lit(True))
