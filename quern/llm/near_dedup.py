@@ -1,11 +1,11 @@
 """Near duplicates by Order MinHash, verified by banded alignment.
 
-A text is the sequence of its 5-word shingles, each labelled with its occurrence. A sketch takes the LENGTH smallest
+A text is the sequence of its 5-word shingles, each labelled with its occurrence. A sketch takes the few smallest
 labelled shingles under one hash and keeps them in text order; texts of high edit similarity share sketches. Equal word
 sequences are one class from the start (an aggregation by a 128-bit key), so no group of copies is ever expanded. For
-each sketch every member is compared with one leader; the links make components; and only where a bucket still holds
-several components are its members outside the largest one compared with the rest, so that no linked pair is lost and no
-bucket's pairs are all emitted. Components are found by hooking and pointer jumping over written edge tables; nothing
+each sketch every member is compared with one leader; the links make components; where a bucket still holds several, its
+members are dealt again by longer sketches, and only what these leave in several components is compared outright: the
+members outside the largest component with the rest. So no linked pair is lost and no bucket's pairs are all emitted. Components are found by hooking and pointer jumping over written edge tables; nothing
 about documents, links or components reaches the driver.
 """
 
@@ -16,14 +16,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.shared import materialize, table
 
-WORDS, SKETCHES, LENGTH, SIMILAR = 5, 16, 4, 0.8
+WORDS, SIMILAR = 5, 0.8
+#: (sketches, shingles in each): for every text, and for those whose buckets one leader couldn't resolve. Texts of 0.8
+#: share a short sketch with odds of 0.9998 and a long one with 0.9999; texts of 0.45, a long one with 0.03.
+SHORT, LONG = (16, 4), (96, 10)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_SEEDS = np.random.default_rng(6).integers(1, 1 << 63, SKETCHES).astype(np.uint64)
+_SEEDS = np.random.default_rng(6).integers(1, 1 << 63, 128).astype(np.uint64)
 
 
 class _WordHashes(dict):
@@ -36,7 +39,7 @@ class _WordHashes(dict):
         return h
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def _scrambled(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _MUL
     return x ^ (x >> np.uint64(29))
 
@@ -48,7 +51,7 @@ def shingles(words: np.ndarray) -> np.ndarray:
         words, n = np.concatenate([words, np.zeros(WORDS - len(words), words.dtype)]), 1
     h = np.zeros(n, dtype=np.uint64)
     for k in range(WORDS):
-        h = _mixed(h + words[k : n + k].astype(np.uint64) + np.uint64(k + 1))
+        h = _scrambled(h + words[k : n + k].astype(np.uint64) + np.uint64(k + 1))
     return h
 
 
@@ -61,22 +64,21 @@ def labelled(h: np.ndarray) -> np.ndarray:
         return h
     start = np.maximum.accumulate(np.where(same, 0, np.arange(len(s))))
     out = h.copy()
-    out[order] = np.where(same, _mixed(s + (np.arange(len(s)) - start).astype(np.uint64)), s)
+    out[order] = np.where(same, _scrambled(s + (np.arange(len(s)) - start).astype(np.uint64)), s)
     return out
 
 
-def sketches(h: np.ndarray) -> np.ndarray:
-    """SKETCHES Order MinHash sketches of labelled shingles, as 64-bit hashes of the chosen ones in text order."""
-    out = np.empty(SKETCHES, dtype=np.uint64)
+def sketches(h: np.ndarray, many: int, length: int) -> np.ndarray:
+    """Order MinHash sketches of labelled shingles, as 64-bit hashes of the `length` chosen ones in text order."""
+    out = _SEEDS[:many] * np.uint64(2 * length + 1)
     step = max(1, 4_000_000 // len(h))
-    for a in range(0, SKETCHES, step):  # very long texts take few sketches at a time
-        seeds = _SEEDS[a : a + step]
+    for a in range(0, many, step):  # very long texts take few sketches at a time
+        seeds = _SEEDS[a : min(many, a + step)]
         v = (h[None, :] ^ seeds[:, None]) * _MUL
         v ^= v >> np.uint64(32)
-        at = np.sort(np.argpartition(v, LENGTH - 1, axis=1)[:, :LENGTH], axis=1) if len(h) > LENGTH else np.tile(np.arange(len(h)), (len(seeds), 1))
-        out[a : a + step] = seeds
+        at = np.sort(np.argpartition(v, length - 1, axis=1)[:, :length], axis=1) if len(h) > length else np.tile(np.arange(len(h)), (len(seeds), 1))
         for k in range(at.shape[1]):
-            out[a : a + step] = _mixed(out[a : a + step] + h[at[:, k]])
+            out[a : a + step] = _scrambled(out[a : a + step] + h[at[:, k]])
     return out
 
 
@@ -119,7 +121,7 @@ def alike(x: np.ndarray, y: np.ndarray, least: float = SIMILAR) -> bool:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key and, of texts with a word, node (128-bit key of the words), n, sketches, words (32-bit hashes)."""
+    """doc_id, text_key and, of texts with a word, node (128-bit key of the words), n (shingles), short sketches, words (32-bit hashes)."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _WordHashes()
@@ -134,7 +136,7 @@ def _described(docs: DataFrame) -> DataFrame:
                     h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
                     # shingles are made of the 32-bit hashes, so that sketches and alignment see the same
                     own = (h >> np.uint64(32)).astype(np.uint32)
-                    rows.append((xxhash.xxh3_128_digest(h.tobytes()), len(words), sketches(labelled(shingles(own))).view(np.int64), own.tobytes()))
+                    rows.append((xxhash.xxh3_128_digest(h.tobytes()), max(1, len(words) - WORDS + 1), sketches(labelled(shingles(own)), *SHORT).view(np.int64), own.tobytes()))
                 node, n, sk, own = zip(*rows, strict=True)
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "text_key": part["text_key"], "node": node, "n": n, "sketches": sk, "words": own})
 
@@ -142,11 +144,15 @@ def _described(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(each, "doc_id long, text_key binary, node binary, n long, sketches array<long>, words binary")
 
 
+def _words_of(ends: DataFrame, described: DataFrame) -> DataFrame:
+    """node, words of the nodes in ends, written."""
+    return materialize(described.join(materialize(ends.distinct(), "near-ends"), "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), "near-words")
+
+
 def _verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
     """Those pairs (a, b) that are alike, written."""
     pairs = materialize(pairs, "near-pairs")
-    ends = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near-ends")
-    words = materialize(described.join(ends, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), "near-words")
+    words = _words_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), described)
     met = pairs.join(words.withColumnsRenamed({"node": "a", "words": "x"}), "a").join(words.withColumnsRenamed({"node": "b", "words": "y"}), "b")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,6 +163,38 @@ def _verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
     return materialize(met.select("a", "b", "x", "y").mapInPandas(each, "a binary, b binary"), "near-links")
 
 
+def _shared(nodes: DataFrame) -> DataFrame:
+    """node, n, s, words of nodes (node, words) that can have a link among them at all, written.
+
+    s is how many of a text's n labelled shingles any other of the texts has: no alignment can count more, so where
+    s < 0.8 n there is no link, and two texts link only if the smaller s reaches 0.8 of what the pair has.
+    """
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for node, x in zip(pdf["node"], pdf["words"], strict=True):
+                h = labelled(shingles(np.frombuffer(x, np.uint32))).view(np.int64)
+                yield pd.DataFrame({"h": h, "node": [node] * len(h)})
+
+    own = nodes.mapInPandas(each, "h long, node binary").groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    alone = materialize(own.groupBy("node").agg(F.count("*").alias("alone")), "near-alone")
+    df = nodes.join(alone, "node", "left").withColumn("n", F.greatest(F.length("words") / 4 - (WORDS - 1), F.lit(1)).cast("long"))
+    df = df.select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s"), "words").where(F.col("s") >= SIMILAR * F.col("n") - 1e-6)
+    return materialize(df, "near-shared")
+
+
+def _long_sketches(nodes: DataFrame) -> DataFrame:
+    """key, node, n, s: the long sketches of nodes (node, n, s, words)."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys = [sketches(labelled(shingles(np.frombuffer(x, np.uint32))), *LONG).view(np.int64) for x in pdf["words"]]
+            if keys:
+                yield pd.DataFrame({"key": np.concatenate(keys)} | {c: np.repeat(pdf[c].to_numpy(), LONG[0]) for c in ("node", "n", "s")})
+
+    return nodes.mapInPandas(each, "key long, node binary, n long, s long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component of every node that a link (a, b) has; component is the same for all that are connected.
 
@@ -178,26 +216,52 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Of rows (key, node, n, s, component), those of keys with several components, with the key's leader and main component.
+
+    The leader is the member of the main component with fewest shingles of its own, as most are alike to that one.
+    """
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("size"), F.min(F.struct(F.expr("n - s").alias("alone"), F.xxhash64("node", "key"), "node", "n", "s")).alias("l"))
+    by = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component", "l")).alias("m")).where("parts > 1")
+    by = materialize(by.selectExpr("key", "m.component AS main", "m.l.node AS leader", "m.l.n AS leader_n", "m.l.s AS leader_s"), "near-leaders")
+    return materialize(rows.join(by, "key"), "near-mixed")
+
+
+def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.select("key", "node", "n", "s").join(labels, "node", "left").select("key", "node", "n", "s", F.coalesce("component", "node").alias("component"))
+
+
+def _can_link(n: str, s: str, m: str, t: str) -> Column:
+    """Whether texts of n and m shingles, of which s and t can be shared, can be alike."""
+    return F.least(s, t) >= SIMILAR / (1 + SIMILAR) * (F.col(n) + F.col(m)) - 1e-6
+
+
+def _with_leaders(mixed: DataFrame) -> DataFrame:
+    """Pairs of each key's leader, of its main component, and the members of others."""
+    rows = mixed.where((F.col("component") != F.col("main")) & _can_link("n", "s", "leader_n", "leader_s"))
+    return rows.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+
+
 def _classes(described: DataFrame) -> DataFrame:
-    """node, component of the nodes that have a near copy of other words."""
+    """node, component of the nodes that have a near copy of other words.
+
+    Keys are the short sketches first, whose members meet a leader. Texts of keys that still hold several components, if
+    enough of their shingles are shared, are keyed by their long sketches: leaders again, and then all members outside
+    the main component against all others that they can link to.
+    """
     nodes = described.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches"))
-    dealt = materialize(nodes.select("node", "n", F.explode("sketches").alias("sketch")), "near-sketches")
-    by = dealt.groupBy("sketch").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", "sketch"), "node", "n")).alias("l"))
-    leaders = materialize(by.where("size > 1").selectExpr("sketch", "l.node AS leader", "l.n AS leader_n"), "near-leaders")
-    buckets = materialize(dealt.join(leaders, "sketch"), "near-buckets")
-    long_enough = lambda n, m: F.least(n, m) + WORDS >= SIMILAR * (F.greatest(n, m) - WORDS)  # noqa: E731  shingles are WORDS - 1 fewer than words
-    pair = [F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")]
-    links = _verified(buckets.where((F.col("node") != F.col("leader")) & long_enough(F.col("n"), F.col("leader_n"))).select(*pair).distinct(), described)
+    rows = materialize(nodes.select(F.explode("sketches").alias("key"), "node", "n", F.col("n").alias("s"), F.col("node").alias("component")), "near-sketches")
+    mixed = _mixed(rows)
+    links = _verified(_with_leaders(mixed), described)
+    labels = components(links)
+    words = _shared(_words_of(_mixed(_relabelled(mixed, labels)).select("node"), described))
+    mixed = _mixed(_relabelled(materialize(_long_sketches(words), "near-long-sketches"), labels))
+    links = links.union(_verified(_with_leaders(mixed), words))
     labels = components(links)
-    known = buckets.join(labels, "node", "left").select("sketch", "node", "n", F.coalesce("component", "node").alias("component"))
-    known = materialize(known, "near-known")
-    sizes = known.groupBy("sketch", "component").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("sketch").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component"))["component"].alias("main")).where("parts > 1")
-    rest = materialize(known.join(materialize(mixed, "near-mixed"), "sketch"), "near-rest")
+    rest = _mixed(_relabelled(mixed, labels))
     x, y = rest.where("component <> main").alias("x"), rest.alias("y")
-    more = x.join(y, (F.col("x.sketch") == F.col("y.sketch")) & (F.col("x.component") != F.col("y.component")) & long_enough(F.col("x.n"), F.col("y.n")))
-    more = more.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    found = _verified(more, described)
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _can_link("x.n", "x.s", "y.n", "y.s"))
+    found = _verified(more.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), words)
     return labels if found.isEmpty() else components(links.union(found))
 
 
