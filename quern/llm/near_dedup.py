@@ -144,9 +144,14 @@ def _described(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(each, "doc_id long, text_key binary, node binary, n long, sketches array<long>, words binary")
 
 
-def _words_of(ends: DataFrame, described: DataFrame) -> DataFrame:
-    """node, words of the nodes in ends, written."""
-    return materialize(described.join(materialize(ends.distinct(), "near-ends"), "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), "near-words")
+def _words_of(ends: DataFrame, described: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """node, words of the nodes in ends, written.
+
+    Up to `most` nodes (16 bytes each) are sent to where the words are, which then needn't be shuffled; more are joined.
+    """
+    ends = materialize(ends.distinct(), "near-ends")
+    few = ends.count() <= most
+    return materialize(described.join(F.broadcast(ends) if few else ends, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), "near-words")
 
 
 def _verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
