@@ -2,14 +2,17 @@
 
 Each class has word bigrams that back off to its word continuation counts, then to a spelling model of character n-grams
 (orders 5, 4, 3 of the class), then to character trigrams counted over the word types of *all* documents, which both
-classes share: a rare expression is judged by how each class spells, on common ground. The classes' counts come from a
-bounded sample of labelled texts, fitted on the driver; the shared counts come from every text, summed by Spark into a
-fixed number of hashed buckets. Scoring is one narrow pass with the model broadcast; its size is bounded by the sample.
+classes share: a rare expression is judged by how each class spells, on common ground. A second pair of models counts
+the labelled texts in which a word begins with a given stem, discounted and backed off to the counts of both classes:
+words that are new but formed on a stem of toxic ones are found by it. The classes' counts come from a bounded sample of
+labelled texts, fitted on the driver; the shared trigrams come from every text, summed by Spark into a fixed number of
+hashed buckets. Scoring is one narrow pass with the model broadcast; its size is bounded by the sample.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from quern.llm.shared import labelled_sample, remainder_is, table
 
 #: Labelled texts of each class, at most (about); bits of a character table's buckets; terms compared.
-MAX_LABELLED, BITS, DISCOUNT, N_TERMS = 6000, 18, 0.75, 4
+MAX_LABELLED, BITS, DISCOUNT, N_TERMS = 6000, 18, 0.75, 7
 ORDERS = (3, 4, 5)
 _WORD = re.compile(r"\w+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -113,6 +116,40 @@ class Counts:
         return np.log(np.maximum(p, 1e-300))  # a word spelt less likely than that tells nothing
 
 
+class Stems:
+    """Log-ratios toxic : ordinary of the stems (beginnings of 3 to 12 letters) that two toxic texts have at least.
+
+    Each class counts texts, less DISCOUNT, plus BACKOFF times the share that the stem has of the texts of both.
+    """
+
+    SHORTEST, LONGEST, BACKOFF = 3, 12, 4.0
+
+    def __init__(self, docs: list[np.ndarray], y: np.ndarray, words: Sequence[str]):
+        counts: tuple[Counter, Counter] = Counter(), Counter()
+        for ids, label in zip(docs, y, strict=True):
+            counts[label].update({words[i][:k] for i in np.unique(ids) for k in range(self.SHORTEST, min(len(words[i]), self.LONGEST) + 1)})
+        n = [int((y == label).sum()) for label in (0, 1)]
+
+        def log(seen: int, texts: int, share: float) -> float:
+            return float(np.log((max(seen - DISCOUNT, 0.0) + self.BACKOFF * share) / (texts + self.BACKOFF)))
+
+        self.ratios = {}
+        for stem, seen in counts[1].items():
+            if seen >= 2:
+                share = (seen + counts[0][stem]) / sum(n)
+                self.ratios[stem] = log(seen, n[1], share) - log(counts[0][stem], n[0], share)
+
+    def best(self, word: str) -> float:
+        """The largest ratio of the word's stems; 0 if none is known or larger."""
+        most = 0.0
+        for k in range(self.SHORTEST, min(len(word), self.LONGEST) + 1):
+            found = self.ratios.get(word[:k])
+            if found is None:
+                break
+            most = max(most, found)
+        return most
+
+
 class Model:
     """Both classes over one table of known words: those in two of the texts at least."""
 
@@ -130,15 +167,16 @@ class Model:
             own = [d for d, k in zip(docs, y, strict=True) if k == label]
             types = np.unique(np.concatenate(own)) if own else []
             self.classes.append(Counts([ids[d] for d in own], self.n_known, [words[i] for i in types], shared))
+        self.stems = Stems(docs, y, words)
         self.calibration: np.ndarray | None = None
         self._reset()
 
     def _reset(self) -> None:
         self.row: dict[str, int] = {}
-        self.ids, self.p = np.empty(0, np.int64), np.empty((2, 0))
+        self.ids, self.p, self.stem = np.empty(0, np.int64), np.empty((2, 0)), np.empty(0)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("row", "ids", "p")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("row", "ids", "p", "stem")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -157,16 +195,20 @@ class Model:
         self.ids = np.concatenate([self.ids, ids])
         spelt = _spelt(new)
         self.p = np.concatenate([self.p, np.array([c.words(ids, spelt) for c in self.classes])], axis=1)
+        self.stem = np.concatenate([self.stem, np.fromiter(map(self.stems.best, new), dtype=float, count=len(new))])
 
     def compare(self, words: list[str]) -> tuple[float, ...]:
-        """Mean log-ratio toxic : ordinary over the text, over its 1 and its 3 most telling words, and log(1 + words)."""
+        """Mean log-ratio toxic : ordinary over the text, over its 1 and its 3 most telling words, and log(1 + words);
+        then of stems the largest ratio, the mean of the 3 largest, and the sum of what is above 2, of distinct words."""
         if not words:
             return (0.0,) * N_TERMS
         at = np.fromiter(map(self.row.__getitem__, words), dtype=np.int64, count=len(words))
         ids = self.ids[at]
         r = self.classes[0].logs(ids, self.p[0][at], self.n_known) - self.classes[1].logs(ids, self.p[1][at], self.n_known)
         best = np.sort(np.partition(r, len(r) - 3)[-3:]) if len(r) > 3 else np.sort(r)
-        return float(r.mean()), float(best[-1]), float(best.sum() / 3), float(np.log1p(len(r)))
+        stem = self.stem[np.unique(at)]
+        top = np.sort(stem[stem > 0])[::-1]
+        return float(r.mean()), float(best[-1]), float(best.sum() / 3), float(np.log1p(len(r))), float(top[:1].sum()), float(top[:3].sum() / 3), float(np.maximum(top - 2, 0).sum())
 
     def compared(self, texts: Sequence[list[str]]) -> np.ndarray:
         out = []
@@ -182,9 +224,9 @@ class Model:
 
 
 def _terms(x: np.ndarray) -> np.ndarray:
-    mean, top, tops, n = x.T
-    n = n - 5
-    return np.column_stack([np.ones(len(x)), mean, top, tops, n, mean * n, top * n, tops * n])
+    each = np.delete(x, 3, axis=1)
+    n = x[:, 3] - 5
+    return np.column_stack([np.ones(len(x)), n, each, each * n[:, None]])
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3) -> np.ndarray:
