@@ -12,7 +12,6 @@ hashed buckets. Scoring is one narrow pass with the model broadcast; its size is
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -25,6 +24,8 @@ from quern.llm.shared import labelled_sample, remainder_is, table
 #: Labelled texts of each class, at most (about); bits of a character table's buckets; terms compared.
 MAX_LABELLED, BITS, DISCOUNT, N_TERMS = 6000, 18, 0.75, 7
 ORDERS = (3, 4, 5)
+#: Letters of a stem; texts' worth of the counts that both classes share.
+SHORTEST, LONGEST, BACKOFF = 3, 12, 4.0
 _WORD = re.compile(r"\w+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,12 +59,14 @@ class Spelling:
     """Interpolated Kneser-Ney over the characters of word types, on top of shared trigram counts."""
 
     def __init__(self, words: Sequence[str], shared: tuple[np.ndarray, np.ndarray]):
-        self.shared, self.tables = shared, []
-        n = 1 << BITS
-        for gram, context in _spelt(words)[0] if words else [(np.empty(0, np.int64),) * 2] * len(ORDERS):
-            count = np.bincount(gram, minlength=n)
-            first = np.unique(gram, return_index=True)[1]
-            self.tables.append((count.astype(np.float32), np.bincount(context, minlength=n).astype(np.float32), np.bincount(context[first], minlength=n).astype(np.float32)))
+        self.shared, n = shared, 1 << BITS
+        self.tables = [tuple(np.zeros(n, dtype=np.float32) for _ in range(3)) for _ in ORDERS]
+        for k in range(0, len(words), 20_000):
+            for (gram, context), (count, total, types) in zip(_spelt(words[k : k + 20_000])[0], self.tables, strict=True):
+                at, first = np.unique(gram, return_index=True)
+                types += np.bincount(context[first[count[at] == 0]], minlength=n).astype(np.float32)
+                count += np.bincount(gram, minlength=n).astype(np.float32)
+                total += np.bincount(context, minlength=n).astype(np.float32)
 
     def logs(self, spelt: tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]) -> np.ndarray:
         """Log-probability of each word's spelling, as _spelt has it."""
@@ -116,44 +119,54 @@ class Counts:
         return np.log(np.maximum(p, 1e-300))  # a word spelt less likely than that tells nothing
 
 
+def _stems(words: Sequence[str]) -> np.ndarray:
+    """32-bit hashes of each word's beginnings of SHORTEST to LONGEST letters, one column for each; 0 beyond its end."""
+    c = np.frombuffer("".join(w[:LONGEST].ljust(LONGEST, "\0") for w in words).encode("utf-32-le", "replace"), dtype=np.uint32).reshape(-1, LONGEST)
+    h, out = np.full(len(c), 7, dtype=np.uint64), np.zeros((len(c), LONGEST - SHORTEST + 1), dtype=np.uint32)
+    for k in range(LONGEST):
+        h = (h + c[:, k]) * _MUL
+        h ^= h >> np.uint64(29)
+        if k >= SHORTEST - 1:
+            out[:, k - SHORTEST + 1] = np.where(c[:, k] > 0, (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.uint32(0))
+    return out
+
+
 class Stems:
     """Log-ratios toxic : ordinary of the stems (beginnings of 3 to 12 letters) that two toxic texts have at least.
 
     Each class counts texts, less DISCOUNT, plus BACKOFF times the share that the stem has of the texts of both.
     """
 
-    SHORTEST, LONGEST, BACKOFF = 3, 12, 4.0
-
-    def __init__(self, docs: list[np.ndarray], y: np.ndarray, words: Sequence[str]):
-        counts: tuple[Counter, Counter] = Counter(), Counter()
-        for ids, label in zip(docs, y, strict=True):
-            counts[label].update({words[i][:k] for i in np.unique(ids) for k in range(self.SHORTEST, min(len(words[i]), self.LONGEST) + 1)})
+    def __init__(self, docs: list[np.ndarray], y: np.ndarray, stems: np.ndarray):
+        toxic = [np.unique(stems[np.unique(d)]) for d, label in zip(docs, y, strict=True) if label == 1]
+        self.stems, seen = np.unique(np.concatenate(toxic), return_counts=True) if toxic else (np.empty(0, np.uint32), np.empty(0, int))
+        del toxic
+        keep = (seen >= 2) & (self.stems > 0)
+        self.stems, seen = self.stems[keep], seen[keep]
+        other = np.zeros(len(seen) + 1)  # the last: those that aren't kept
+        for d, label in zip(docs, y, strict=True):
+            if label == 0 and len(seen):
+                other[self._at(np.unique(stems[np.unique(d)]))] += 1
         n = [int((y == label).sum()) for label in (0, 1)]
+        share = BACKOFF * (seen + other[:-1]) / max(1, sum(n))
+        self.ratios = np.append(np.log((np.maximum(seen - DISCOUNT, 0) + share) / (n[1] + BACKOFF)) - np.log((np.maximum(other[:-1] - DISCOUNT, 0) + share) / (n[0] + BACKOFF)), 0.0)
 
-        def log(seen: int, texts: int, share: float) -> float:
-            return float(np.log((max(seen - DISCOUNT, 0.0) + self.BACKOFF * share) / (texts + self.BACKOFF)))
-
-        self.ratios = {}
-        for stem, seen in counts[1].items():
-            if seen >= 2:
-                share = (seen + counts[0][stem]) / sum(n)
-                self.ratios[stem] = log(seen, n[1], share) - log(counts[0][stem], n[0], share)
+    def _at(self, stems: np.ndarray) -> np.ndarray:
+        """Where stems are among those kept; of others, one past the end."""
+        at = np.minimum(np.searchsorted(self.stems, stems), len(self.stems) - 1)
+        return np.where(self.stems[at] == stems, at, len(self.stems))
 
-    def best(self, word: str) -> float:
-        """The largest ratio of the word's stems; 0 if none is known or larger."""
-        most = 0.0
-        for k in range(self.SHORTEST, min(len(word), self.LONGEST) + 1):
-            found = self.ratios.get(word[:k])
-            if found is None:
-                break
-            most = max(most, found)
-        return most
+    def best(self, words: Sequence[str]) -> np.ndarray:
+        """The largest ratio of each word's stems; 0 if none is known or larger."""
+        if not len(self.stems):
+            return np.zeros(len(words))
+        return np.maximum(self.ratios[self._at(_stems(words))].max(1), 0.0)
 
 
 class Model:
     """Both classes over one table of known words: those in two of the texts at least."""
 
-    def __init__(self, docs: list[np.ndarray], y: np.ndarray, words: Sequence[str], shared: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], y: np.ndarray, words: Sequence[str], shared: tuple[np.ndarray, np.ndarray], stems: np.ndarray):
         df = np.zeros(len(words), dtype=np.int64)
         for d in docs:
             df[np.unique(d)] += 1
@@ -167,7 +180,7 @@ class Model:
             own = [d for d, k in zip(docs, y, strict=True) if k == label]
             types = np.unique(np.concatenate(own)) if own else []
             self.classes.append(Counts([ids[d] for d in own], self.n_known, [words[i] for i in types], shared))
-        self.stems = Stems(docs, y, words)
+        self.stems = Stems(docs, y, stems)
         self.calibration: np.ndarray | None = None
         self._reset()
 
@@ -183,9 +196,9 @@ class Model:
         self._reset()
 
     def learn_words(self, words: set[str]) -> None:
-        """Probabilities of words not met before; the table starts anew when it holds half a million."""
+        """Probabilities of words not met before; the table starts anew when it holds a quarter of a million."""
         new = sorted(words - self.row.keys())
-        if len(self.row) + len(new) > 500_000:
+        if len(self.row) + len(new) > 250_000:
             self._reset()
             new = sorted(words)
         if not new:
@@ -195,7 +208,7 @@ class Model:
         self.ids = np.concatenate([self.ids, ids])
         spelt = _spelt(new)
         self.p = np.concatenate([self.p, np.array([c.words(ids, spelt) for c in self.classes])], axis=1)
-        self.stem = np.concatenate([self.stem, np.fromiter(map(self.stems.best, new), dtype=float, count=len(new))])
+        self.stem = np.concatenate([self.stem, self.stems.best(new)])
 
     def compare(self, words: list[str]) -> tuple[float, ...]:
         """Mean log-ratio toxic : ordinary over the text, over its 1 and its 3 most telling words, and log(1 + words);
@@ -274,10 +287,11 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, max_lab
     seen: dict[str, int] = {}
     ids = []
     for text in rows.pop("text"):
-        ids.append(np.array([seen.setdefault(w, len(seen)) for w in words_of(text)], dtype=np.int64))
+        ids.append(np.array([seen.setdefault(w, len(seen)) for w in words_of(text)], dtype=np.int32))
     words, shared = list(seen), shared_counts(docs)
     del seen
-    model = Model(ids, y, words, shared)
+    stems = _stems(words)
+    model = Model(ids, y, words, shared, stems)
     if len(set(y)) < 2:
         return model
     fold, x = np.zeros(len(y), dtype=int), np.zeros((len(y), N_TERMS))
@@ -286,8 +300,10 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, max_lab
         fold[own] = np.arange(len(own)) % 2
     for k in (0, 1):
         rest_, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        half = Model([ids[i] for i in rest_], y[rest_], words, shared)
-        x[own] = half.compared([[words[j] for j in ids[i]] for i in own])
+        half = Model([ids[i] for i in rest_], y[rest_], words, shared, stems)
+        for a in range(0, len(own), 200):
+            x[own[a : a + 200]] = half.compared([[words[j] for j in ids[i]] for i in own[a : a + 200]])
+        del half
     weight = np.array([n.get(k, 1) / max(1, (y == k).sum()) for k in (0, 1)])[y]
     model.calibration = _calibrated(x, y, weight / weight.sum() * len(y))
     return model
