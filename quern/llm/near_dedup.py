@@ -200,25 +200,31 @@ def _long_sketches(nodes: DataFrame) -> DataFrame:
     return nodes.mapInPandas(each, "key long, node binary, n long, s long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """node, component of every node that a link (a, b) has; component is the same for all that are connected.
 
-    Each round every node hooks to its smallest neighbour, chains are jumped twice, and links are contracted. Node keys
-    are hashes, so chains are short and rounds grow with the logarithm of a component's size.
+    known holds what earlier links came to (node, component) and is taken over. Each round every node hooks to its
+    smallest neighbour, chains are jumped, and links are contracted; the rounds' maps are put together at the end. Node
+    keys are hashes, so chains are short and rounds grow with the logarithm of a component's size.
     """
-    links = materialize(links.select("a", "b").where("a <> b").distinct(), "links")
-    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    labels = materialize(nodes.select("node", F.col("node").alias("component")), "labels")
+    links = links.select("a", "b")
+    if known is not None:
+        for c in ("a", "b"):
+            links = links.join(known.toDF("known", "now"), F.col(c) == F.col("known"), "left").withColumn(c, F.coalesce("now", c)).select("a", "b")
+    links = materialize(links.where("a <> b").distinct(), "links")
+    nodes, maps = links.select(F.col("a").alias("node")).union(links.select("b")).distinct(), []
     while not links.isEmpty():
         up = links.union(links.select("b", "a")).groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("b"))
-        for _ in range(2):
-            up = materialize(up, "up")
-            up = up.alias("u").join(up.alias("t"), F.col("u.b") == F.col("t.a")).select("u.a", F.col("t.b").alias("b"))
-        up = materialize(up, "up")
-        labels = materialize(labels.join(up, labels["component"] == up["a"], "left").select("node", F.coalesce("b", "component").alias("component")), "labels")
+        up = materialize(up.alias("u").join(up.alias("t"), F.col("u.b") == F.col("t.a")).select("u.a", F.col("t.b").alias("b")), "up")
+        maps.append(up)
         links = links.join(up.toDF("a", "a2"), "a").join(up.toDF("b", "b2"), "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"))
         links = materialize(links.where("a <> b").distinct(), "links")
-    return labels
+    labels = nodes.select("node", F.col("node").alias("component"))
+    if known is not None:
+        labels = known.union(labels.join(known, "node", "left_anti"))
+    for up in maps:
+        labels = labels.join(up, labels["component"] == up["a"], "left").select("node", F.coalesce("b", "component").alias("component"))
+    return materialize(labels, "labels")
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -241,6 +247,22 @@ def _can_link(n: str, s: str, m: str, t: str) -> Column:
     return F.least(s, t) >= SIMILAR / (1 + SIMILAR) * (F.col(n) + F.col(m)) - 1e-6
 
 
+def _parities(nodes: DataFrame) -> DataFrame:
+    """node, p0 to p15 of nodes (node, words): whether the labelled shingles of each of 1024 hash values are odd in number.
+
+    Two texts differ in as many shingles at least as their parities in bits, so that most pairs that aren't alike are
+    known without alignment, and none that is gets lost.
+    """
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bits = [np.bincount((_scrambled(labelled(shingles(np.frombuffer(x, np.uint32)))) >> np.uint64(54)).astype(np.int64), minlength=1024) & 1 for x in pdf["words"]]
+            p = np.packbits(np.array(bits, dtype=np.uint8).reshape(-1, 1024), axis=1).view(np.int64)
+            yield pd.DataFrame({"node": pdf["node"]} | {f"p{k}": p[:, k] for k in range(16)})
+
+    return nodes.select("node", "words").mapInPandas(each, "node binary, " + ", ".join(f"p{k} long" for k in range(16)))
+
+
 def _with_leaders(mixed: DataFrame) -> DataFrame:
     """Pairs of each key's leader, of its main component, and the members of others."""
     rows = mixed.where((F.col("component") != F.col("main")) & _can_link("n", "s", "leader_n", "leader_s"))
@@ -261,13 +283,16 @@ def _classes(described: DataFrame) -> DataFrame:
     labels = components(links)
     words = _shared(_words_of(_mixed(_relabelled(mixed, labels)).select("node"), described))
     mixed = _mixed(_relabelled(materialize(_long_sketches(words), "near-long-sketches"), labels))
-    links = links.union(_verified(_with_leaders(mixed), words))
-    labels = components(links)
+    links = _verified(_with_leaders(mixed), words)
+    labels = components(links, labels)
     rest = _mixed(_relabelled(mixed, labels))
+    rest = materialize(rest.join(_parities(words.join(rest.select("node").distinct(), "node", "left_semi")), "node"), "near-rest")
     x, y = rest.where("component <> main").alias("x"), rest.alias("y")
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _can_link("x.n", "x.s", "y.n", "y.s"))
+    apart = sum((F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(1, 16)), F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))))
+    differ = apart <= (1 - SIMILAR) / (1 + SIMILAR) * (F.col("x.n") + F.col("y.n")) + 1e-6
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _can_link("x.n", "x.s", "y.n", "y.s") & differ)
     found = _verified(more.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), words)
-    return labels if found.isEmpty() else components(links.union(found))
+    return labels if found.isEmpty() else components(found, labels)
 
 
 def _resolved(docs: DataFrame) -> DataFrame:
