@@ -46,25 +46,25 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, min_families: int
     return found.where(~near).select("line").unionByName(exact.select("line"))
 
 
-def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_families: int = MIN_FAMILIES) -> DataFrame:
-    """docs with boilerplate lines gone from text, plus n_lines and n_removed (long).
+def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_families: int = MIN_FAMILIES, counts: bool = True) -> DataFrame:
+    """docs with boilerplate lines gone from text, plus (with counts) n_lines and n_removed (long).
 
     Lines are what lies between newlines; blank lines stay and are never boilerplate. Null texts stay null (0 lines).
-    Repeated rows are treated alike. A text all of whose lines go becomes empty. A column of docs named n_lines or
-    n_removed is replaced.
+    Repeated rows are treated alike. A text all of whose lines go becomes empty. With counts, a column of
+    docs named n_lines or n_removed is replaced; none may be named line_dedup_key, line_dedup_text or line_dedup_gone.
     """
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    kept = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
     lines = materialize(_lines(docs.select("source", "text")), "lines")
     flagged = materialize(boilerplate(lines, min_sites, min_families), "line-flags")
-    gone = lines.join(flagged, "line", "left_semi").groupBy("text_key").agg(F.collect_set("pos").alias("gone"))
+    gone = lines.join(flagged, "line", "left_semi").groupBy("text_key").agg(F.collect_set("pos").alias("line_dedup_gone"))
     gone = materialize(gone, "line-gone").withColumnRenamed("text_key", "line_dedup_key")
     df = docs.select(*kept, F.unhex(F.md5("text")).alias("line_dedup_text")).join(gone, F.col("line_dedup_text") == F.col("line_dedup_key"), "left")
-    left = F.expr(r"array_join(filter(split(text, '\n'), (x, i) -> NOT array_contains(gone, i)), '\n')")
-    return df.select(
-        *[F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(f"`{c}`") for c in kept],
-        F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+    left = F.expr(r"array_join(filter(split(text, '\n'), (x, i) -> NOT array_contains(line_dedup_gone, i)), '\n')")
+    columns = [F.when(F.col("line_dedup_gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(f"`{c}`") for c in kept]
+    if counts:
+        columns.append(F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))), F.lit(0)).cast("long").alias("n_lines"))
+        columns.append(F.coalesce(F.size("line_dedup_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return df.select(*columns)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,28 +120,29 @@ def copies(docs: DataFrame, **options: object) -> DataFrame:
     import re
 
     names = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(*names, F.xxhash64(*names).alias("mix_key"))
-    taken = mix(rows, carry=("mix_key",), **options).where("taken > 0")
+    rows = docs.select(*names, F.xxhash64(*names).alias("quern_mix_key"))
+    narrow = rows.select("doc_id", "source", "text", "quern_mix_key")
+    taken = mix(narrow, carry=("quern_mix_key",), **options).where("taken > 0")
     # equal rows share what they take, so the join finds one line for each of them
-    taken = taken.groupBy(F.col("mix_key").alias("mix_k"), F.col("size").alias("mix_size")).agg(F.ceil(F.sum("taken") / F.count("*")).alias("mix_share"))
-    df = rows.join(materialize(taken, "mix-taken"), F.col("mix_key") == F.col("mix_k"))
-    df = df.withColumn("mix_words", F.explode(F.expr("transform(sequence(1, cast(ceil(mix_share / mix_size) AS int)), i -> least(mix_size, mix_share - (i - 1) * mix_size))")))
+    taken = taken.groupBy(F.col("quern_mix_key").alias("quern_mix_k"), F.col("size").alias("quern_mix_size")).agg(F.ceil(F.sum("taken") / F.count("*")).alias("quern_mix_share"))
+    df = rows.join(materialize(taken, "mix-taken"), F.col("quern_mix_key") == F.col("quern_mix_k"))
+    df = df.withColumn("quern_mix_words", F.explode(F.expr("transform(sequence(1, cast(ceil(quern_mix_share / quern_mix_size) AS int)), i -> least(quern_mix_size, quern_mix_share - (i - 1) * quern_mix_size))")))
     fields = [docs.schema[c] for c in docs.columns]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         word = re.compile(WORD)
         for pdf in batches:
-            for j in np.flatnonzero((pdf["mix_words"] < pdf["mix_size"]).to_numpy()):
+            for j in np.flatnonzero((pdf["quern_mix_words"] < pdf["quern_mix_size"]).to_numpy()):
                 text, end = pdf["text"].iat[j], 0
-                for _, m in zip(range(int(pdf["mix_words"].iat[j])), word.finditer(text), strict=False):
+                for _, m in zip(range(int(pdf["quern_mix_words"].iat[j])), word.finditer(text), strict=False):
                     end = m.end()
                 pdf.iat[j, pdf.columns.get_loc("text")] = text[:end]
                 if "n_chars" in pdf.columns:
                     pdf.iat[j, pdf.columns.get_loc("n_chars")] = end
-            yield pdf.drop(columns=["mix_words", "mix_size"])
+            yield pdf.drop(columns=["quern_mix_words", "quern_mix_size"])
 
-    whole = df.where("mix_words = mix_size").select(*names)
-    part = df.where("mix_words < mix_size").select(*names, "mix_words", "mix_size")
+    whole = df.where("quern_mix_words = quern_mix_size").select(*names)
+    part = df.where("quern_mix_words < quern_mix_size").select(*names, "quern_mix_words", "quern_mix_size")
     return whole.unionByName(part.mapInPandas(cut, T.StructType(fields)))
 
 
