@@ -5,13 +5,16 @@ labelled shingles under one hash and keeps them in text order; texts of high edi
 sequences are one class from the start (an aggregation by a 128-bit key), so no group of copies is ever expanded. For
 each sketch every member is compared with one leader; the links make components; where a bucket still holds several, its
 members are dealt again by longer sketches, and only what these leave in several components is compared outright: the
-members outside the largest component with the rest. So no linked pair is lost and no bucket's pairs are all emitted. Components are found by hooking and pointer jumping over written edge tables; nothing
+members outside the largest component with the rest. So a linked pair is lost only if it shares no sketch, and no bucket's
+pairs are all emitted. Texts of few shingles have too few for that and are linked exactly: two of them are alike only if
+they are equal but for a shingle of each or two of one, so they meet by what is left without these. Components are found by hooking and pointer jumping over written edge tables; nothing
 about documents, links or components reaches the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -23,8 +26,12 @@ from quern.llm.shared import materialize, table
 
 WORDS, SIMILAR = 5, 0.8
 #: (sketches, shingles in each): for every text, and for those whose buckets one leader couldn't resolve. Texts of 0.8
-#: share a short sketch with odds of 0.9998 and a long one with 0.9999; texts of 0.45, a long one with 0.03.
-SHORT, LONG = (16, 4), (96, 10)
+#: share a short sketch with odds of 0.9998 and a long one with 0.9999; texts of 0.45, a long one with 0.03. Long ones take
+#: nearly all shingles of a text of less than 20 and are middle ones there; up to 24 have both, so that all pairs can meet.
+SHORT, MIDDLE, LONG = (16, 4), (96, 6), (96, 10)
+MIDDLE_BELOW, LONG_FROM = 25, 20
+#: Texts of so many shingles at most are linked to each other exactly.
+FEW = 12
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(6).integers(1, 1 << 63, 128).astype(np.uint64)
 
@@ -188,18 +195,58 @@ def _shared(nodes: DataFrame) -> DataFrame:
     return materialize(df, "near-shared")
 
 
+def long_keys(h: np.ndarray) -> np.ndarray:
+    """The long sketches of labelled shingles, the middle ones of few shingles, or both."""
+    kinds = [MIDDLE] * (len(h) < MIDDLE_BELOW) + [LONG] * (len(h) >= LONG_FROM)
+    return np.concatenate([sketches(h, *kind) for kind in kinds])
+
+
 def _long_sketches(nodes: DataFrame) -> DataFrame:
-    """key, node, n, s: the long sketches of nodes (node, n, s, words)."""
+    """key, node, n, s: the long (or middle) sketches of nodes (node, n, s, words)."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys = [sketches(labelled(shingles(np.frombuffer(x, np.uint32))), *LONG).view(np.int64) for x in pdf["words"]]
+            keys = [long_keys(labelled(shingles(np.frombuffer(x, np.uint32)))).view(np.int64) for x in pdf["words"]]
             if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys)} | {c: np.repeat(pdf[c].to_numpy(), LONG[0]) for c in ("node", "n", "s")})
+                yield pd.DataFrame({"key": np.concatenate(keys)} | {c: np.repeat(pdf[c].to_numpy(), [len(k) for k in keys]) for c in ("node", "n", "s")})
 
     return nodes.mapInPandas(each, "key long, node binary, n long, s long")
 
 
+def few_keys(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a few shingles in order, of all but one and (from 10 on) of all but two; and how many each key holds."""
+    n, keys, left = len(h), [], []
+    for r in range(n, n - (3 if n >= 10 else 2), -1):
+        at = np.array(list(combinations(range(n), r)))
+        key = np.full(len(at), r, dtype=np.uint64)
+        for k in range(r):
+            key = _scrambled(key + h[at[:, k]])
+        keys.append(np.unique(key))
+        left.append(np.full(len(keys[-1]), r))
+    return np.concatenate(keys), np.concatenate(left)
+
+
+def _few_links(described: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all texts of FEW shingles at most that are alike.
+
+    Up to FEW, texts of 0.8 have all shingles but one of each, or but two of the longer, in common. Texts that share a key
+    of r are alike if r is 0.8 of what they have; if any two of a key are, all that are alike to any are so to the shortest.
+    """
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [few_keys(shingles(np.frombuffer(x, np.uint32))) for x in pdf["words"]]
+            if found:
+                many = [len(k) for k, _ in found]
+                yield pd.DataFrame({"key": np.concatenate([k for k, _ in found]).view(np.int64), "r": np.concatenate([r for _, r in found])} | {c: np.repeat(pdf[c].to_numpy(), many) for c in ("node", "n")})
+
+    nodes = described.where(F.col("node").isNotNull() & F.col("n").between(4, FEW)).groupBy("node").agg(F.first("n").alias("n"), F.first("words").alias("words"))
+    rows = materialize(nodes.mapInPandas(each, "key long, r long, node binary, n long"), "near-few")
+    first = rows.groupBy("key", "r").agg(F.min(F.struct("n", "node")).alias("l"), F.count("*").alias("size")).where("size > 1").select("key", "r", "l")
+    met = rows.join(first, ["key", "r"]).where((F.col("node") != F.col("l.node")) & (F.col("r") >= SIMILAR * (F.col("n") + F.col("l.n") - F.col("r")) - 1e-9))
+    return met.select(F.col("l.node").alias("a"), F.col("node").alias("b"))
+
+
 def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """node, component of every node that a link (a, b) has; component is the same for all that are connected.
 
@@ -230,10 +277,11 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
 def _mixed(rows: DataFrame) -> DataFrame:
     """Of rows (key, node, n, s, component), those of keys with several components, with the key's leader and main component.
 
+    Keys that only texts of few shingles have are left out, as these are linked to each other already.
     The leader is the member of the main component with fewest shingles of its own, as most are alike to that one.
     """
-    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("size"), F.min(F.struct(F.expr("n - s").alias("alone"), F.xxhash64("node", "key"), "node", "n", "s")).alias("l"))
-    by = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component", "l")).alias("m")).where("parts > 1")
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("size"), F.max("n").alias("longest"), F.min(F.struct(F.expr("n - s").alias("alone"), F.xxhash64("node", "key"), "node", "n", "s")).alias("l"))
+    by = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component", "l")).alias("m"), F.max("longest").alias("longest")).where((F.col("parts") > 1) & (F.col("longest") > FEW))
     by = materialize(by.selectExpr("key", "m.component AS main", "m.l.node AS leader", "m.l.n AS leader_n", "m.l.s AS leader_s"), "near-leaders")
     return materialize(rows.join(by, "key"), "near-mixed")
 
@@ -243,8 +291,8 @@ def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _can_link(n: str, s: str, m: str, t: str) -> Column:
-    """Whether texts of n and m shingles, of which s and t can be shared, can be alike."""
-    return F.least(s, t) >= SIMILAR / (1 + SIMILAR) * (F.col(n) + F.col(m)) - 1e-6
+    """Whether texts of n and m shingles, of which s and t can be shared, can be alike and aren't linked as both of few shingles."""
+    return (F.greatest(n, m) > FEW) & (F.least(s, t) >= SIMILAR / (1 + SIMILAR) * (F.col(n) + F.col(m)) - 1e-6)
 
 
 def _parities(nodes: DataFrame) -> DataFrame:
@@ -272,15 +320,17 @@ def _with_leaders(mixed: DataFrame) -> DataFrame:
 def _classes(described: DataFrame) -> DataFrame:
     """node, component of the nodes that have a near copy of other words.
 
-    Keys are the short sketches first, whose members meet a leader. Texts of keys that still hold several components, if
-    enough of their shingles are shared, are keyed by their long sketches: leaders again, and then all members outside
+    Texts of few shingles are linked first. Keys are the short sketches then, whose members meet a leader. Texts of keys that still hold several components, if
+    enough of their shingles are shared, are keyed by their long or middle sketches: leaders again, and then all members outside
     the main component against all others that they can link to.
     """
     nodes = described.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches"))
-    rows = materialize(nodes.select(F.explode("sketches").alias("key"), "node", "n", F.col("n").alias("s"), F.col("node").alias("component")), "near-sketches")
+    labels = components(_few_links(described))
+    nodes = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = materialize(nodes.select(F.explode("sketches").alias("key"), "node", "n", F.col("n").alias("s"), "component"), "near-sketches")
     mixed = _mixed(rows)
     links = _verified(_with_leaders(mixed), described)
-    labels = components(links)
+    labels = components(links, labels)
     words = _shared(_words_of(_mixed(_relabelled(mixed, labels)).select("node"), described))
     mixed = _mixed(_relabelled(materialize(_long_sketches(words), "near-long-sketches"), labels))
     links = _verified(_with_leaders(mixed), words)

@@ -190,6 +190,36 @@ def test_op6_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.class_id) for r in got)
 
 
+def test_op6_few_shingles(spark):
+    """Texts of one template: pairs alike in all but the last word, and texts of four to sixteen shingles with one or two gone."""
+    rng = np.random.default_rng(9)
+    start, texts = words(rng, 11), {}
+    for i in range(120):
+        for j in range(2):
+            texts[len(texts)] = " ".join([*start, f"x{i}", f"y{i}_{j}"])
+    for n in range(8, 21):
+        for _ in range(3):
+            base = words(rng, n, 5000)
+            texts |= {len(texts) + k: " ".join(w) for k, w in enumerate([base, base[1:], base[:-2], base[:-1] + ["z"]])}
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == brute_classes(texts)
+
+
+def test_op6_few_keys_miss_no_link():
+    rng = np.random.default_rng(10)
+    for _ in range(3000):
+        a = rng.integers(0, 30, rng.integers(8, near_dedup.FEW + 5)).astype(np.uint32)
+        b = a[rng.integers(0, 3) : len(a) - rng.integers(0, 3)].copy()
+        if rng.random() < 0.5:
+            b[rng.choice([0, -1])] = 99
+        h = [near_dedup.shingles(x) for x in (a, b)]
+        if min(map(len, h)) < 4:
+            continue
+        (x, r), (y, _) = map(near_dedup.few_keys, h)
+        most = r[np.isin(x, y)].max(initial=0)
+        assert near_dedup.alike(a, b) == (most >= 0.8 * (len(h[0]) + len(h[1]) - most) - 1e-9)
+
+
 def test_op6_alignment():
     rng = np.random.default_rng(7)
     for _ in range(200):
