@@ -18,6 +18,8 @@ from quern.llm.shared import remainder_is, table
 
 #: n-grams in a profile; letters in an n-gram; texts of each language that are learned from, at most (about).
 TOP, LONGEST, MAX_TEXTS, MAX_LANGS = 400, 3, 1500, 1000
+#: A text is of no known language below this share of the score that all but this quantile of learned texts reach.
+SHARE, QUANTILE = 2 / 3, 0.01
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -79,14 +81,9 @@ class Profiles:
 
 def learn(docs: DataFrame, mod: int = 5, rest: int = 0, top: int = TOP, max_texts: int = MAX_TEXTS) -> Profiles:
     """Profiles from doc_id, text, lang: of rows whose crc32 remainder isn't `rest`, about max_texts of each language."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~remainder_is("doc_id", mod, rest))
-    n = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGS + 1).collect()
-    if len(n) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    if not n:
+    sample = _sample(docs, mod, rest, max_texts)
+    if sample is None:
         return Profiles({}, top)
-    rate = F.element_at(F.create_map(*[F.lit(v) for r in n for v in (r.lang, min(1.0, max_texts / r.n))]), F.col("lang"))
-    sample = rows.where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) / float(1 << 30) < rate).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -99,6 +96,18 @@ def learn(docs: DataFrame, mod: int = 5, rest: int = 0, top: int = TOP, max_text
     return Profiles({r.lang: [x[1] for x in r.best] for r in best.collect()}, top)
 
 
+def _sample(docs: DataFrame, mod: int = 5, rest: int = 0, max_texts: int = MAX_TEXTS) -> DataFrame | None:
+    """lang, text of the rows that profiles are learned from; None if there are none."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~remainder_is("doc_id", mod, rest))
+    n = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGS + 1).collect()
+    if len(n) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    if not n:
+        return None
+    rate = F.element_at(F.create_map(*[F.lit(v) for r in n for v in (r.lang, min(1.0, max_texts / r.n))]), F.col("lang"))
+    return rows.where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) / float(1 << 30) < rate).select("lang", "text")
+
+
 def predictions(docs: DataFrame, profiles: Profiles, *carry: str) -> DataFrame:
     """The columns in carry, lang_pred and lang_score of each row; carry must have text, and mustn't have those names."""
     known = docs.sparkSession.sparkContext.broadcast(profiles)
@@ -120,12 +129,19 @@ def language_id(docs: DataFrame, mod: int = 5, rest: int = 0) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """docs without the rows that language ID rejects: und, or a score of 0 (not one n-gram of any known language).
+    """docs without the rows that language ID rejects: und, or a score too low for any known language.
+
+    What is too low is learned: below SHARE of the QUANTILE of the scores of the texts that the profiles come from.
 
     A corpus without any labelled row teaches no language, and everything in it is rejected as und.
     """
-    df = predictions(docs, learn(docs), *docs.columns)
-    return df.where("quern_lang.lang_pred <> 'und' and quern_lang.score > 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    profiles, sample, least = learn(docs), _sample(docs), None
+    if sample is not None:
+        score = F.col("quern_lang.score")
+        least = predictions(sample, profiles, "text").where(score > 0).agg(F.percentile(score, F.lit(QUANTILE))).first()[0]
+    df = predictions(docs, profiles, *docs.columns)
+    known = (F.col("quern_lang.lang_pred") != "und") & (F.col("quern_lang.score") > 0) & (F.col("quern_lang.score") >= SHARE * (least or 0.0))
+    return df.where(known).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

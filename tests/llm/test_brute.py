@@ -62,6 +62,14 @@ def test_op5_held_out_accuracy(spark):
     assert (held.lang == held.lang_pred).mean() >= 0.98
 
 
+def test_language_stage_drops_what_no_profile_is_near(spark, sf):
+    rng, docs = np.random.default_rng(11), table(spark, sf, "documents").select("doc_id", "text", "lang")
+    junk = [" ".join("".join(rng.choice(list(letters), 6)) for _ in range(60)) + " a a a" for letters in ("abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмноп") for _ in range(5)]
+    odd = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(junk)], docs.schema)
+    kept = {r.doc_id for r in language_id.accepted(docs.union(odd)).collect()}
+    assert kept == {r.doc_id for r in language_id.language_id(docs).where("score > 0").collect()}
+
+
 def test_op5_distances(spark):
     ordered = {"aa": [5, 6, 7], "bb": [7, 6]}
     profiles = language_id.Profiles(ordered, top=10)
