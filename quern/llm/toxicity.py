@@ -92,8 +92,8 @@ class Counts:
         self.total = np.bincount(left, weights=n, minlength=n_known)
         self.types = np.bincount(left, minlength=n_known).astype(float)
         self.before = np.bincount(right, minlength=n_known).astype(float)
-        often = (n > 1) & (left > 0) & (right > 0)
-        self.code, self.n = code[often], n[often].astype(float)
+        known = (left > 0) & (right > 0)
+        self.code, self.n = code[known], n[known].astype(float)
         self.all = max(1.0, self.before.sum())
         self.backoff = DISCOUNT * max(1, np.count_nonzero(self.before)) / self.all
         self.spelling = Spelling(words, shared)

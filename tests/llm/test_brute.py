@@ -96,6 +96,12 @@ def test_op9_new_words_of_a_toxic_stem(spark):
     assert all(got[1000 + i].predicted == i % 2 for i in range(40))
 
 
+def test_op9_bigrams_of_one_occurrence_count():
+    shared = tuple(np.zeros(1 << toxicity.BITS, dtype=np.float32) for _ in range(2))
+    counts = toxicity.Counts([np.array([1, 2, 1, 3])], 4, ["a", "b", "c"], shared)
+    assert np.allclose(np.exp(counts.logs(np.array([1, 2]), np.array([0.1, 0.1]), 4)), [0.1, (1 - 0.75 + 0.75 * 2 * 0.1) / 2])
+
+
 # ---------------------------------------------------------------- op3
 
 
