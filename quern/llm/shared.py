@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int = 0, rows: int = 500, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in views of at most `rows` rows and about `size` bytes of the column `text`, none copied.
+
+    What Python makes of a slice is so bounded by the slice or one text, whatever the session's batches hold.
+    """
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        long = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < batch.num_rows:
+            b = int(np.searchsorted(long, (long[a - 1] if a else 0) + size, "right"))
+            b = max(a + 1, min(a + rows, b))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def remainder_is(doc_id: str, mod: int, rest: int) -> Column:
     """True where crc32(doc_id as text) mod `mod` is `rest`, and for a null doc_id: such rows are never learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod == rest, F.lit(True))

@@ -1,31 +1,44 @@
-"""Toxicity: two class-conditional Kneser-Ney models, toxic and ordinary, compared per word.
-
-Each class has word bigrams that back off to its word continuation counts, then to a spelling model of character n-grams
-(orders 5, 4, 3 of the class), then to character trigrams counted over the word types of *all* documents, which both
-classes share: a rare expression is judged by how each class spells, on common ground. A second pair of models counts
-the labelled texts in which a word begins with a given stem, discounted and backed off to the counts of both classes:
-words that are new but formed on a stem of toxic ones are found by it. The classes' counts come from a bounded sample of
-labelled texts, fitted on the driver; the shared trigrams come from every text, summed by Spark into a fixed number of
-hashed buckets. Scoring is one narrow pass with the model broadcast; its size is bounded by the sample.
+"""Toxicity: class-conditional Kneser-Ney models of toxic and ordinary texts over shared backoff counts.
+
+Three orders are compared: letters (each letter of a word after the word's own beginning), words, and words after the
+word before. In each, a class counts the labelled texts that hold an n-gram, discounts them absolutely, and gives what
+the discount frees to a backoff distribution that both classes share: interpolated Kneser-Ney counts over *all* documents
+(for letters, over the labelled texts of both classes). So a rare expression, of which neither class has more texts than
+the discount, is as likely in one as in the other and says nothing, and only what texts of one class repeat tells.
+
+A text's differences of log-likelihood, toxic less ordinary, are normalised by length: their mean over the text, and over
+its most toxic stretch of 1, 3 and 8 words, for each order. A logistic regression whose weights can't be negative, fitted
+to differences of texts that weren't among those counted, makes one score of them.
+
+Labelled texts are a bounded sample, counted on the driver; the shared counts are one pass over all documents, of the
+n-grams that the sample keeps; scoring is one narrow pass with both broadcast, all of bounded size.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import labelled_sample, remainder_is, table
-
-#: Labelled texts of each class, at most (about); bits of a character table's buckets; terms compared.
-MAX_LABELLED, BITS, DISCOUNT, N_TERMS = 6000, 18, 0.75, 7
-ORDERS = (3, 4, 5)
-#: Letters of a stem; texts' worth of the counts that both classes share.
-SHORTEST, LONGEST, BACKOFF = 3, 12, 4.0
+from quern.llm.shared import labelled_sample, remainder_is, slices, table
+
+#: Labelled texts of each class, at most (about), and the characters that a text may have to be one of them.
+MAX_LABELLED, MAX_CHARS = 4000, 32_768
+#: Texts taken off each count, and texts' worth of the shared distribution that each context has besides; chosen by
+#: two-fold cross-validation within the learnable rows of sf0.1, as were orders and stretches.
+DISCOUNT, BACKOFF = 3.0, 10.0
+#: Letters of a word that are compared, its end included; words of a stretch.
+LETTERS, STRETCHES = 12, (1, 3, 8)
+#: Parts of the sample; the terms of each are taken by what the others count, so that the regression sees unseen texts.
+FOLDS = 8
+N_TERMS = 3 * (1 + len(STRETCHES)) + 1
+#: The ids of words that aren't known and of the place before a text's first word.
+OTHER, START = 0, 1
 _WORD = re.compile(r"\w+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -34,279 +47,333 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def _spelt(words: Sequence[str], orders: Sequence[int] = ORDERS) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """For each order, the buckets of each character's n-gram and of its context, word after word (an ending sign
-    included); and where each word starts."""
-    pad = max(orders) - 1
-    c = np.frombuffer(("\x01" * pad + ("\x02" + "\x01" * pad).join(words) + "\x02").encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
-    lengths = np.array(list(map(len, words)), dtype=np.int64) + 1
-    starts = np.cumsum(lengths) - lengths
-    where = np.repeat(pad * np.arange(1, len(words) + 1), lengths) + np.arange(lengths.sum())
-    before = [c[where - k] + np.uint64(1) for k in range(pad + 1)]
-    mask, out = np.uint64((1 << BITS) - 1), []
-    for order in orders:
-        context = np.full(len(where), order, dtype=np.uint64)
-        for k in range(order - 1, 0, -1):
-            context = (context + before[k]) * _MUL
-            context ^= context >> np.uint64(29)
-        gram = (context + before[0]) * _MUL
-        gram ^= gram >> np.uint64(32)
-        out.append(((gram & mask).astype(np.int64), ((context >> np.uint64(7)) & mask).astype(np.int64)))
-    return out, starts
-
-
-class Spelling:
-    """Interpolated Kneser-Ney over the characters of word types, on top of shared trigram counts."""
-
-    def __init__(self, words: Sequence[str], shared: tuple[np.ndarray, np.ndarray]):
-        self.shared, n = shared, 1 << BITS
-        self.tables = [tuple(np.zeros(n, dtype=np.float32) for _ in range(3)) for _ in ORDERS]
-        for k in range(0, len(words), 20_000):
-            for (gram, context), (count, total, types) in zip(_spelt(words[k : k + 20_000])[0], self.tables, strict=True):
-                at, first = np.unique(gram, return_index=True)
-                types += np.bincount(context[first[count[at] == 0]], minlength=n).astype(np.float32)
-                count += np.bincount(gram, minlength=n).astype(np.float32)
-                total += np.bincount(context, minlength=n).astype(np.float32)
-
-    def logs(self, spelt: tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]) -> np.ndarray:
-        """Log-probability of each word's spelling, as _spelt has it."""
-        p, (spelt, starts) = None, spelt
-        for (gram, context), (count, total, types) in zip(spelt, self.tables, strict=True):
-            if p is None:
-                p = (self.shared[0][gram] + 0.01) / (self.shared[1][context] + 2.0)
-            seen = total[context]
-            own = (np.maximum(count[gram] - DISCOUNT, 0) + DISCOUNT * types[context] * p) / np.maximum(seen, 1)
-            p = np.where(seen > 0, own, p)
-        return np.add.reduceat(np.log(np.maximum(p, 1e-12)), starts)
-
-
-class Counts:
-    """One class: bigrams of known words, continuation counts and spelling. docs: arrays of known ids, 0 for others."""
-
-    def __init__(self, docs: list[np.ndarray], n_known: int, words: Sequence[str], shared: tuple[np.ndarray, np.ndarray]):
-        # the blank between two documents is -1, so that no pair spans them
-        flat = np.concatenate([x for d in docs for x in (d, [-1])]).astype(np.int64) if docs else np.array([-1])
-        a, b = flat[:-1], flat[1:]
-        code, n = np.unique((a * n_known + b)[(a >= 0) & (b >= 0)], return_counts=True)
-        left, right = code // n_known, code % n_known
-        self.total = np.bincount(left, weights=n, minlength=n_known)
-        self.types = np.bincount(left, minlength=n_known).astype(float)
-        self.before = np.bincount(right, minlength=n_known).astype(float)
-        known = (left > 0) & (right > 0)
-        self.code, self.n = code[known], n[known].astype(float)
-        self.all = max(1.0, self.before.sum())
-        self.backoff = DISCOUNT * max(1, np.count_nonzero(self.before)) / self.all
-        self.spelling = Spelling(words, shared)
-
-    def words(self, known: np.ndarray, spelt: tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]) -> np.ndarray:
-        """The backed-off probability of each word, of which known has the ids."""
-        own = np.where(known > 0, np.maximum(self.before[known] - DISCOUNT, 0) / self.all, 0.0)
-        return own + (self.backoff + self.before[0] / self.all) * np.exp(self.spelling.logs(spelt))  # what other words had goes to spelling too
-
-    def logs(self, ids: np.ndarray, p: np.ndarray, n_known: int) -> np.ndarray:
-        """Log-probability of each word of a text after the word before it."""
-        if len(ids) > 1:
-            h, w = ids[:-1], ids[1:]
-            seen = self.total[h]
-            c = np.zeros(len(h))
-            if len(self.code):
-                code = h * n_known + w
-                at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
-                c = np.where(self.code[at] == code, self.n[at], 0.0)
-            p = p.copy()
-            after = (np.maximum(c - DISCOUNT, 0) + DISCOUNT * self.types[h] * p[1:]) / np.maximum(seen, 1)
-            p[1:] = np.where((seen > 0) & (h > 0) & (w > 0), after, p[1:])
-        return np.log(np.maximum(p, 1e-300))  # a word spelt less likely than that tells nothing
-
-
-def _stems(words: Sequence[str]) -> np.ndarray:
-    """32-bit hashes of each word's beginnings of SHORTEST to LONGEST letters, one column for each; 0 beyond its end."""
-    c = np.frombuffer("".join(w[:LONGEST].ljust(LONGEST, "\0") for w in words).encode("utf-32-le", "replace"), dtype=np.uint32).reshape(-1, LONGEST)
-    h, out = np.full(len(c), 7, dtype=np.uint64), np.zeros((len(c), LONGEST - SHORTEST + 1), dtype=np.uint32)
-    for k in range(LONGEST):
+def beginnings(words: Sequence[str]) -> np.ndarray:
+    """64-bit hashes of each word's beginnings of 1 to LETTERS letters, the word's end counting as one; 0 beyond it."""
+    c = np.frombuffer("".join((w[:LETTERS] + "\x02")[:LETTERS].ljust(LETTERS, "\0") for w in words).encode("utf-32-le", "replace"), dtype=np.uint32).reshape(-1, LETTERS)
+    h, out = np.full(len(c), 7, dtype=np.uint64), np.zeros((len(c), LETTERS), dtype=np.uint64)
+    for k in range(LETTERS):
         h = (h + c[:, k]) * _MUL
         h ^= h >> np.uint64(29)
-        if k >= SHORTEST - 1:
-            out[:, k - SHORTEST + 1] = np.where(c[:, k] > 0, (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.uint32(0))
+        out[:, k] = np.where(c[:, k] > 0, h | np.uint64(1), np.uint64(0))
     return out
 
 
-class Stems:
-    """Log-ratios toxic : ordinary of the stems (beginnings of 3 to 12 letters) that two toxic texts have at least.
+def _at(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each of wanted is among sorted keys; of others, len(keys)."""
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return np.where(keys[at] == wanted, at, len(keys)) if len(keys) else np.zeros(len(wanted), dtype=np.int64)
 
-    Each class counts texts, less DISCOUNT, plus BACKOFF times the share that the stem has of the texts of both.
-    """
 
-    def __init__(self, docs: list[np.ndarray], y: np.ndarray, stems: np.ndarray):
-        toxic = [np.unique(stems[np.unique(d)]) for d, label in zip(docs, y, strict=True) if label == 1]
-        self.stems, seen = np.unique(np.concatenate(toxic), return_counts=True) if toxic else (np.empty(0, np.uint32), np.empty(0, int))
-        del toxic
-        keep = (seen >= 2) & (self.stems > 0)
-        self.stems, seen = self.stems[keep], seen[keep]
-        other = np.zeros(len(seen) + 1)  # the last: those that aren't kept
-        for d, label in zip(docs, y, strict=True):
-            if label == 0 and len(seen):
-                other[self._at(np.unique(stems[np.unique(d)]))] += 1
-        n = [int((y == label).sum()) for label in (0, 1)]
-        share = BACKOFF * (seen + other[:-1]) / max(1, sum(n))
-        self.ratios = np.append(np.log((np.maximum(seen - DISCOUNT, 0) + share) / (n[1] + BACKOFF)) - np.log((np.maximum(other[:-1] - DISCOUNT, 0) + share) / (n[0] + BACKOFF)), 0.0)
-
-    def _at(self, stems: np.ndarray) -> np.ndarray:
-        """Where stems are among those kept; of others, one past the end."""
-        at = np.minimum(np.searchsorted(self.stems, stems), len(self.stems) - 1)
-        return np.where(self.stems[at] == stems, at, len(self.stems))
-
-    def best(self, words: Sequence[str]) -> np.ndarray:
-        """The largest ratio of each word's stems; 0 if none is known or larger."""
-        if not len(self.stems):
-            return np.zeros(len(words))
-        return np.maximum(self.ratios[self._at(_stems(words))].max(1), 0.0)
+def difference(own: np.ndarray, left: np.ndarray, total: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """log P(toxic) - log P(ordinary) of n-grams: own (discounted counts), left (freed mass) and total of their contexts,
+    each a line for ordinary and one for toxic, and the shared probability."""
+    p = (own + (left + BACKOFF) * shared) / (total + BACKOFF)
+    return np.log(np.maximum(p[1], 1e-300)) - np.log(np.maximum(p[0], 1e-300))
 
 
-class Model:
-    """Both classes over one table of known words: those in two of the texts at least."""
+class Vocabulary:
+    """The words, pairs of words and beginnings of words that more labelled texts hold than the discount takes off."""
 
-    def __init__(self, docs: list[np.ndarray], y: np.ndarray, words: Sequence[str], shared: tuple[np.ndarray, np.ndarray], stems: np.ndarray):
-        df = np.zeros(len(words), dtype=np.int64)
+    def __init__(self, words: Sequence[str], docs: list[np.ndarray], discount: float):
+        """docs: texts as numbers of words."""
+        self.discount = discount
+        count = np.zeros(len(words), dtype=np.int64)
+        for d in docs:
+            count[np.unique(d)] += 1
+        keep = np.flatnonzero(count > discount)
+        self.known = {words[i]: k for k, i in enumerate(keep, 2)}
+        self.n = len(keep) + 2
+        ids = np.zeros(len(words), dtype=np.int64)
+        ids[keep] = np.arange(2, self.n)
+        code, n = np.unique(np.concatenate([self.distinct(ids[d])[1] for d in docs] or [np.empty(0, np.int64)]), return_counts=True)
+        self.pairs = code[n > discount]
+        codes = beginnings(words)
+        every, at = np.unique(codes, return_inverse=True)
+        at, n = at.reshape(codes.shape), np.zeros(len(every), dtype=np.int64)
         for d in docs:
-            df[np.unique(d)] += 1
-        keep = np.flatnonzero(df >= 2)
-        ids = np.zeros(len(words) + 1, dtype=np.int64)
-        ids[keep] = np.arange(1, len(keep) + 1)
-        self.known = {words[i]: int(ids[i]) for i in keep}
-        self.n_known = len(keep) + 1
-        self.classes = []
-        for label in (1, 0):
-            own = [d for d, k in zip(docs, y, strict=True) if k == label]
-            types = np.unique(np.concatenate(own)) if own else []
-            self.classes.append(Counts([ids[d] for d in own], self.n_known, [words[i] for i in types], shared))
-        self.stems = Stems(docs, y, stems)
-        self.calibration: np.ndarray | None = None
+            n[np.unique(at[np.unique(d)])] += 1
+        self.starts = every[(n > discount) & (every > 0)]
+        self._ready()
+
+    def _ready(self) -> None:
+        self.seen = np.zeros(1 << 20, dtype=bool)  # tells of most pairs that they aren't kept
+        self.seen[self._mixed(self.pairs)] = True
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "seen"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._ready()
+
+    @staticmethod
+    def _mixed(pairs: np.ndarray) -> np.ndarray:
+        return ((pairs.astype(np.uint64) * _MUL) >> np.uint64(44)).astype(np.int64)
+
+    def ids(self, words: Sequence[str]) -> np.ndarray:
+        get = self.known.get
+        return np.fromiter((get(w, OTHER) for w in words), dtype=np.int64, count=len(words))
+
+    def distinct(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A text's distinct words, and its distinct pairs as context * n + word."""
+        return np.unique(ids), np.unique(np.concatenate([[START], ids[:-1]])[: len(ids)] * self.n + ids)
+
+    def pair_at(self, pairs: np.ndarray) -> np.ndarray:
+        """Where pairs are among those kept; of others, len(self.pairs)."""
+        out = np.full(len(pairs), len(self.pairs), dtype=np.int64)
+        maybe = np.flatnonzero(self.seen[self._mixed(pairs)])
+        out[maybe] = _at(self.pairs, pairs[maybe])
+        return out
+
+
+@dataclass
+class Counts:
+    """In how many texts each word, kept pair and kept beginning is, and how many words and pairs each context has."""
+
+    texts: float
+    words: np.ndarray
+    pairs: np.ndarray
+    after: np.ndarray
+    starts: np.ndarray
+
+    @staticmethod
+    def of(vocabulary: Vocabulary, docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Counts:
+        """docs: each text's distinct words, pairs and places of kept beginnings."""
+        join = lambda k: np.concatenate([d[k] for d in docs] or [np.empty(0, np.int64)]).astype(np.int64)
+        pairs = join(1)
+        kept = vocabulary.pair_at(pairs)
+        return Counts(
+            len(docs), np.bincount(join(0), minlength=vocabulary.n).astype(float), np.bincount(kept, minlength=len(vocabulary.pairs) + 1)[:-1].astype(float),
+            np.bincount(pairs // vocabulary.n, minlength=vocabulary.n).astype(float), np.bincount(join(2), minlength=len(vocabulary.starts)).astype(float),
+        )
+
+
+class Differences:
+    """log P(toxic) - log P(ordinary) of every kept word, pair and beginning, and of pairs that aren't kept by context."""
+
+    def __init__(self, vocabulary: Vocabulary, classes: tuple[Counts, Counts], shared: Counts, levels: list[tuple[np.ndarray, np.ndarray]]):
+        """levels: beginnings by length, and where those one letter shorter are (-1: none)."""
+        off = lambda n: np.maximum(n - vocabulary.discount, 0)
+        both = lambda name: np.stack([getattr(c, name) for c in classes])
+        words, total = both("words"), both("words").sum(1)[:, None]
+        all_ = max(1.0, shared.words.sum())
+        p1 = (off(shared.words) + (all_ - off(shared.words).sum()) / vocabulary.n) / all_
+        self.words = difference(off(words), total - off(words).sum(1)[:, None], total, p1)
+        h, w = vocabulary.pairs // vocabulary.n, vocabulary.pairs % vocabulary.n
+        by_context = lambda n: np.bincount(h, weights=n, minlength=vocabulary.n)
+        pairs, after = off(both("pairs")), both("after")
+        left = after - np.stack([by_context(p) for p in pairs])
+        shared_left = shared.after - by_context(off(shared.pairs))
+        p2 = np.where(shared.after[h] > 0, (off(shared.pairs) + shared_left[h] * p1[w]) / np.maximum(shared.after[h], 1), p1[w])
+        self.pairs = difference(pairs, left[:, h], after[:, h], p2)
+        self.context = difference(np.zeros_like(after), left, after, np.ones(vocabulary.n))  # the shared probability cancels out
+        starts, texts = both("starts"), np.array([[c.texts] for c in classes])
+        self.starts = np.zeros(starts.shape[1])
+        for own, shorter in levels:
+            n, before = starts[:, own], np.where(shorter < 0, texts, starts[:, shorter])
+            r = difference(off(n), np.minimum(n, vocabulary.discount), before, n.sum(0) / np.maximum(before.sum(0), 1))
+            self.starts[own] = r + np.where(shorter < 0, 0.0, self.starts[shorter])  # a word's letters add up
+
+
+class Model:
+    """What is sent to the executors: vocabulary, differences and the weights of the terms."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.differences: Differences | None = None
+        self.calibration: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         self._reset()
 
     def _reset(self) -> None:
         self.row: dict[str, int] = {}
-        self.ids, self.p, self.stem = np.empty(0, np.int64), np.empty((2, 0)), np.empty(0)
+        self.ids, self.letters = np.empty(0, np.int64), np.empty(0)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("row", "ids", "p", "stem")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("row", "ids", "letters")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self._reset()
 
+    def spelt(self, words: Sequence[str]) -> np.ndarray:
+        """Each word's difference by letters: that of its longest kept beginning."""
+        at = _at(self.vocabulary.starts, beginnings(words).ravel()).reshape(-1, LETTERS)
+        kept = at < len(self.vocabulary.starts)
+        last = kept.sum(1) - 1  # whatever is kept, its beginnings are
+        return np.where(last >= 0, np.append(self.differences.starts, 0.0)[at[np.arange(len(at)), np.maximum(last, 0)]], 0.0)
+
     def learn_words(self, words: set[str]) -> None:
-        """Probabilities of words not met before; the table starts anew when it holds a quarter of a million."""
-        new = sorted(words - self.row.keys())
-        if len(self.row) + len(new) > 250_000:
+        """Ids and letters of words not met before; the table starts anew when it holds 200,000."""
+        new = list(words - self.row.keys())
+        if len(self.row) + len(new) > 200_000:
             self._reset()
-            new = sorted(words)
-        if not new:
-            return
-        self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
-        ids = np.fromiter((self.known.get(w, 0) for w in new), dtype=np.int64, count=len(new))
-        self.ids = np.concatenate([self.ids, ids])
-        spelt = _spelt(new)
-        self.p = np.concatenate([self.p, np.array([c.words(ids, spelt) for c in self.classes])], axis=1)
-        self.stem = np.concatenate([self.stem, self.stems.best(new)])
-
-    def compare(self, words: list[str]) -> tuple[float, ...]:
-        """Mean log-ratio toxic : ordinary over the text, over its 1 and its 3 most telling words, and log(1 + words);
-        then of stems the largest ratio, the mean of the 3 largest, and the sum of what is above 2, of distinct words."""
-        if not words:
-            return (0.0,) * N_TERMS
-        at = np.fromiter(map(self.row.__getitem__, words), dtype=np.int64, count=len(words))
+            new = list(words)
+        if new:
+            self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
+            self.ids = np.concatenate([self.ids, self.vocabulary.ids(new)])
+            self.letters = np.concatenate([self.letters, self.spelt(new)])
+
+    def terms(self, texts: Sequence[list[str]]) -> np.ndarray:
+        """terms_at of texts as words."""
+        self.learn_words(set().union(*texts))
+        get = self.row.__getitem__
+        return self.terms_at([np.fromiter(map(get, t), dtype=np.int64, count=len(t)) for t in texts])
+
+    def terms_at(self, texts: Sequence[np.ndarray]) -> np.ndarray:
+        """For each text (places of its words in self.ids), by letters, words and pairs: the mean difference, and that of
+        its most toxic stretches; then log(1 + words). A text without a word has no evidence, 0 throughout."""
+        out = np.zeros((len(texts), N_TERMS))
+        lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        some = np.flatnonzero(lengths)
+        if not len(some):
+            return out
+        at, n = np.concatenate(texts), lengths[some]
+        first = np.cumsum(n) - n
         ids = self.ids[at]
-        r = self.classes[0].logs(ids, self.p[0][at], self.n_known) - self.classes[1].logs(ids, self.p[1][at], self.n_known)
-        best = np.sort(np.partition(r, len(r) - 3)[-3:]) if len(r) > 3 else np.sort(r)
-        stem = self.stem[np.unique(at)]
-        top = np.sort(stem[stem > 0])[::-1]
-        return float(r.mean()), float(best[-1]), float(best.sum() / 3), float(np.log1p(len(r))), float(top[:1].sum()), float(top[:3].sum() / 3), float(np.maximum(top - 2, 0).sum())
-
-    def compared(self, texts: Sequence[list[str]]) -> np.ndarray:
-        out = []
-        for k in range(0, len(texts), 200):
-            part = texts[k : k + 200]
-            self.learn_words(set().union(*part))
-            out += [self.compare(words) for words in part]
-        return np.array(out).reshape(-1, N_TERMS)
+        before = np.concatenate([[START], ids[:-1]])
+        before[first] = START
+        kept = self.vocabulary.pair_at(before * self.vocabulary.n + ids)
+        d, end, here = self.differences, np.repeat(first + n, n), np.arange(len(at))
+        for k, r in enumerate((self.letters[at], d.words[ids], np.where(kept < len(d.pairs), np.append(d.pairs, 0.0)[kept], d.context[before]))):
+            total = np.concatenate([[0.0], np.cumsum(r)])
+            column = k * (1 + len(STRETCHES))
+            out[some, column] = (total[first + n] - total[first]) / n
+            for j, m in enumerate(STRETCHES, 1):
+                stop, whole = np.minimum(here + m, end), np.minimum(n, m)  # a text of fewer words is one stretch
+                sums = np.where(stop - here == np.repeat(whole, n), total[stop] - total[:-1], -np.inf)
+                out[some, column + j] = np.maximum.reduceat(sums, first) / whole
+        out[:, -1] = np.log1p(lengths)
+        return out
 
     def scores(self, texts: Sequence[list[str]]) -> np.ndarray:
-        x = self.compared(texts)
-        return np.full(len(x), 0.5) if self.calibration is None else 1 / (1 + np.exp(-np.clip(_terms(x) @ self.calibration, -30, 30)))
-
-
-def _terms(x: np.ndarray) -> np.ndarray:
-    each = np.delete(x, 3, axis=1)
-    n = x[:, 3] - 5
-    return np.column_stack([np.ones(len(x)), n, each, each * n[:, None]])
-
-
-def _calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3) -> np.ndarray:
-    """Logistic regression by Newton's method; weights give each class its share among all labelled rows."""
-    z, w = _terms(x), np.zeros(2 * N_TERMS)
-    for _ in range(30):
+        if self.calibration is None:
+            return np.full(len(texts), 0.5)
+        mean, deviation, weights = self.calibration
+        z = (self.terms(texts) - mean) / deviation
+        return 1 / (1 + np.exp(-np.clip(z @ weights[:-1] + weights[-1], -30, 30)))
+
+
+def calibrated(x: np.ndarray, y: np.ndarray, share: np.ndarray, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means, deviations and weights of a logistic regression by projected Newton steps; only the weights of the text's
+    length and the bias may be negative, so that more toxic evidence never lowers a score."""
+    mean, deviation = x.mean(0), x.std(0) + 1e-9
+    z = np.column_stack([(x - mean) / deviation, np.ones(len(x))])
+    w, share = np.zeros(z.shape[1]), share / share.sum()
+    least = np.append(np.zeros(z.shape[1] - 2), [-np.inf, -np.inf])
+    ridge = l2 * np.append(np.ones(z.shape[1] - 1), 1e-6)
+
+    def loss(w: np.ndarray) -> float:
+        return float((share * (np.logaddexp(0, z @ w) - y * (z @ w))).sum() + (ridge * w * w).sum() / 2)
+
+    now = loss(w)
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + l2 * np.eye(2 * N_TERMS) * weight.sum() / 1000, z.T @ (weight * (p - y)) + l2 * w * weight.sum() / 1000)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
+        grad = z.T @ (share * (p - y)) + ridge * w
+        free = (w > least) | (grad < 0)
+        step = np.zeros_like(w)
+        step[free] = np.linalg.solve((z[:, free] * (share * p * (1 - p))[:, None]).T @ z[:, free] + np.diag(ridge[free]), grad[free])
+        size = 1.0
+        while size > 1e-6 and loss(np.maximum(w - size * step, least)) >= now:
+            size /= 2
+        if size <= 1e-6:
             break
-    return w
-
-
-def shared_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Character trigrams, and their contexts, of every word type of the corpus, in 2 ** BITS buckets each."""
-
-    def types(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"word": list(set().union(*map(words_of, pdf["text"])))})
-
-    def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ((gram, context),), _ = _spelt(pdf["word"].tolist(), (3,))
-            for kind, found in ((0, gram), (1, context)):
-                at, n = np.unique(found, return_counts=True)
-                yield pd.DataFrame({"kind": kind, "at": at, "n": n})
-
-    found = docs.where("text is not null").select("text").mapInPandas(types, "word string").distinct()
-    found = found.mapInPandas(buckets, "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).toPandas()
+        w = np.maximum(w - size * step, least)
+        before, now = now, loss(w)
+        if before - now < 1e-9:
+            break
+    return mean, deviation, w
+
+
+def shared_counts(docs: DataFrame, vocabulary: Vocabulary) -> Counts:
+    """Of every document: the number of texts with each known word and kept pair, and of pairs after each word."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = sent.value
+        n = [np.zeros(k, dtype=np.int64) for k in (v.n, len(v.pairs) + 1, v.n)]
+        for part in slices(batches):
+            found = [v.distinct(v.ids(words)) for words in map(words_of, part.column(0).to_pylist()) if words]
+            if found:
+                pairs = np.concatenate([f[1] for f in found])
+                n[0] += np.bincount(np.concatenate([f[0] for f in found]), minlength=v.n)
+                n[1] += np.bincount(v.pair_at(pairs), minlength=len(v.pairs) + 1)
+                n[2] += np.bincount(pairs // v.n, minlength=v.n)
+        for kind, own in enumerate(n):
+            at = np.flatnonzero(own)
+            for a in range(0, len(at), 50_000):
+                yield pa.record_batch({"kind": pa.array(np.full(len(at[a : a + 50_000]), kind, np.int32)), "at": pa.array(at[a : a + 50_000]), "n": pa.array(own[at[a : a + 50_000]])})
+
+    rows = docs.where("text is not null").select("text").mapInArrow(each, "kind int, at long, n long")
+    found = rows.groupBy("kind", "at").agg(F.sum("n").alias("n")).toPandas()  # no more rows than the vocabulary has
     out = []
-    for kind in (0, 1):
-        own, dense = found[found["kind"] == kind], np.zeros(1 << BITS, dtype=np.float32)
+    for kind, size in enumerate((vocabulary.n, len(vocabulary.pairs) + 1, vocabulary.n)):
+        own, dense = found[found["kind"] == kind], np.zeros(size)
         dense[own["at"].to_numpy()] = own["n"].to_numpy()
         out.append(dense)
-    return out[0], out[1]
+    sent.unpersist()
+    return Counts(0, out[0], out[1][:-1], out[2], np.empty(0))
+
+
+class Sample:
+    """Labelled texts counted under one discount."""
+
+    def __init__(self, texts: Iterable[list[str]], y: np.ndarray, discount: float):
+        self.y, seen = y, {}
+        self.numbers = [np.fromiter((seen.setdefault(w, len(seen)) for w in t), dtype=np.int32, count=len(t)) for t in texts]
+        self.words = list(seen)
+        del seen
+        self.vocabulary = v = Vocabulary(self.words, self.numbers, discount)
+        ids, at, none = v.ids(self.words), _at(v.starts, beginnings(self.words).ravel()).reshape(-1, LETTERS), len(v.starts)
+        self.docs = []
+        for d in self.numbers:
+            starts = np.unique(at[np.unique(d)])
+            words, pairs = v.distinct(ids[d])
+            self.docs.append((words.astype(np.int32), pairs, starts[starts < none].astype(np.int32)))
+        self.levels = []
+        for k in range(LETTERS):
+            own, first = np.unique(at[:, k], return_index=True)
+            own, first = own[own < none], first[: np.count_nonzero(own < none)]
+            self.levels.append((own, at[first, k - 1] if k else np.full(len(own), -1)))
+
+    def differences(self, rows: np.ndarray, shared: Counts) -> Differences:
+        return Differences(self.vocabulary, tuple(Counts.of(self.vocabulary, [self.docs[i] for i in rows if self.y[i] == label]) for label in (0, 1)), shared, self.levels)
+
+    def terms(self, shared: Counts) -> np.ndarray:
+        """Each text's terms by the counts of the other folds."""
+        fold, x, model = np.zeros(len(self.y), dtype=int), np.zeros((len(self.y), N_TERMS)), Model(self.vocabulary)
+        for label in (0, 1):  # all folds get as many of each class
+            own = np.flatnonzero(self.y == label)
+            fold[own] = np.arange(len(own)) % FOLDS
+        for k in range(FOLDS):
+            own = np.flatnonzero(fold == k)
+            model.differences = self.differences(np.flatnonzero(fold != k), shared)
+            model.ids, model.letters = self.vocabulary.ids(self.words), model.spelt(self.words)
+            for a in range(0, len(own), 200):
+                x[own[a : a + 200]] = model.terms_at([self.numbers[i] for i in own[a : a + 200]])
+        return x
+
+
+def fitted(texts: Iterable[list[str]], y: np.ndarray, weight: Sequence[float], shared=None, discount: float = DISCOUNT) -> Model:
+    """The model of labelled texts, as words. weight: rows that a text of either label stands for. shared: gives the
+    Counts of all documents for a Vocabulary; without it, those of the texts themselves."""
+    sample = Sample(texts, y, discount)
+    model = Model(sample.vocabulary)
+    everything = shared(sample.vocabulary) if shared else Counts.of(sample.vocabulary, sample.docs)
+    if len(set(y)) == 2:
+        model.calibration = calibrated(sample.terms(everything), y, np.asarray(weight, dtype=float)[y])
+    model.differences = sample.differences(np.arange(len(y)), everything)
+    return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, max_labelled: int = MAX_LABELLED) -> Model:
-    """The model of docs (doc_id, text) and labels (doc_id, toxic), calibrated on texts that its half hadn't seen."""
+def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, max_labelled: int = MAX_LABELLED, max_chars: int = MAX_CHARS) -> Model:
+    """The model of docs (doc_id, text) and labels (doc_id, toxic). Texts of more than max_chars characters aren't learned from."""
     learn = ~remainder_is("doc_id", mod, rest)
     n = {r.toxic: r.n for r in labels.where(learn & F.col("toxic").isin(0, 1)).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    rows = labelled_sample(docs, labels, "toxic", learn, max_labelled).toPandas().sort_values(["doc_id", "text"], kind="stable")
+    rows = labelled_sample(docs.where(F.length("text") <= max_chars), labels, "toxic", learn, max_labelled).toPandas().sort_values(["doc_id", "text"], kind="stable")
     y = rows.pop("y").to_numpy().astype(int)
-    seen: dict[str, int] = {}
-    ids = []
-    for text in rows.pop("text"):
-        ids.append(np.array([seen.setdefault(w, len(seen)) for w in words_of(text)], dtype=np.int32))
-    words, shared = list(seen), shared_counts(docs)
-    del seen
-    stems = _stems(words)
-    model = Model(ids, y, words, shared, stems)
-    if len(set(y)) < 2:
-        return model
-    fold, x = np.zeros(len(y), dtype=int), np.zeros((len(y), N_TERMS))
-    for label in (0, 1):  # both halves get as many of each class
-        own = np.flatnonzero(y == label)
-        fold[own] = np.arange(len(own)) % 2
-    for k in (0, 1):
-        rest_, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        half = Model([ids[i] for i in rest_], y[rest_], words, shared, stems)
-        for a in range(0, len(own), 200):
-            x[own[a : a + 200]] = half.compared([[words[j] for j in ids[i]] for i in own[a : a + 200]])
-        del half
-    weight = np.array([n.get(k, 1) / max(1, (y == k).sum()) for k in (0, 1)])[y]
-    model.calibration = _calibrated(x, y, weight / weight.sum() * len(y))
-    return model
+    weight = [n.get(k, 1) / max(1, (y == k).sum()) for k in (0, 1)]
+    return fitted(map(words_of, rows.pop("text").tolist()), y, weight, lambda v: shared_counts(docs, v))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, cut: float = 0.3) -> DataFrame:
@@ -314,17 +381,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, cu
 
     Null and empty texts, and texts without a word, are scored as having no evidence: what the calibration says of them.
     Rows whose crc32 remainder is `rest`, or whose doc_id or label is null or contrary, teach nothing. Without both
-    labels every score is 0.5.
+    labels every score is 0.5. Other columns of docs aren't read, so their names don't matter.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, mod, rest))
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for k in range(0, len(pdf), 200):
-                part = pdf.iloc[k : k + 200]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "score": model.value.scores([words_of(t) for t in part["text"]])})
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1):
+            scores = model.value.scores([words_of(t) for t in part.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores)], names=["doc_id", "score"])
 
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(each, "doc_id long, score double")
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, score double")
     return df.select("doc_id", remainder_is("doc_id", mod, rest).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 

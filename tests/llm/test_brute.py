@@ -96,10 +96,93 @@ def test_op9_new_words_of_a_toxic_stem(spark):
     assert all(got[1000 + i].predicted == i % 2 for i in range(40))
 
 
-def test_op9_bigrams_of_one_occurrence_count():
-    shared = tuple(np.zeros(1 << toxicity.BITS, dtype=np.float32) for _ in range(2))
-    counts = toxicity.Counts([np.array([1, 2, 1, 3])], 4, ["a", "b", "c"], shared)
-    assert np.allclose(np.exp(counts.logs(np.array([1, 2]), np.array([0.1, 0.1]), 4)), [0.1, (1 - 0.75 + 0.75 * 2 * 0.1) / 2])
+def phrased(rng, n, phrases, per, otherwise):
+    """Texts of ordinary words, a tenth of them toxic: `per` phrases in those, and in the others what `otherwise` makes of them."""
+    texts, y = [], (rng.random(n) < 0.1).astype(int)
+    for toxic in y:
+        text = words(rng, rng.integers(30, 200), 1000)
+        for _ in range(per):
+            at, phrase = rng.integers(0, len(text) + 1), phrases[rng.integers(0, len(phrases))]
+            for part in [phrase] if toxic else otherwise(phrase):
+                text[at:at] = part
+                at = rng.integers(0, len(text) + 1)
+        texts.append(text)
+    return texts, y
+
+
+@pytest.mark.parametrize("length,many,per,otherwise", [(3, 15, 3, lambda p: []), (3, 15, 1, lambda p: [p[::-1]]), (2, 40, 3, lambda p: [[w] for w in p])], ids=["phrases", "order", "pairs"])
+def test_op9_phrases_of_ordinary_words(length, many, per, otherwise):
+    """No word tells, only which words follow each other: reversed phrases and the words apart are ordinary."""
+    rng = np.random.default_rng(12)
+    phrases = [[f"w{k}" for k in rng.choice(100, length, replace=False)] for _ in range(many)]
+    texts, y = phrased(rng, 4000, phrases, per, otherwise)
+    model = toxicity.fitted(texts[:3000], y[:3000], [1, 1])
+    score, new = model.scores(texts[3000:]), y[3000:] == 1
+    assert np.mean(score[new] > np.quantile(score[~new], 0.9)) >= 0.9
+    assert np.mean(score[new] >= 0.3) >= 0.85 and np.mean(score[~new] < 0.3) >= 0.95
+
+
+def test_op9_held_out_recall_and_precision(spark):
+    d = "/root/testdata/sf0.1"
+    got = toxicity.op9_toxicity(spark, d).toPandas().merge(pd.read_parquet(f"{d}/labels.parquet")[["doc_id", "toxic"]].dropna(), on="doc_id")
+    held = got[got.held_out]
+    assert held.predicted[held.toxic == 1].mean() >= 0.85 and held.toxic[held.predicted == 1].mean() >= 0.85
+
+
+def test_op9_models_by_brute_force():
+    """Differences of words, pairs and letters against counting texts one by one."""
+    rng, d, b = np.random.default_rng(13), 2.0, toxicity.BACKOFF
+    texts = [words(rng, rng.integers(3, 25), 25) for _ in range(80)]
+    y = rng.integers(0, 2, 80)
+    sample = toxicity.Sample(texts, y, d)
+    v = sample.vocabulary
+    got = sample.differences(np.arange(80), toxicity.Counts.of(v, sample.docs))
+    known = {w for w in set().union(*texts) if sum(w in t for t in texts) > d}
+    named = [[w if w in known else "?" for w in t] for t in texts]
+    assert set(v.known) == known
+    held = [(set(t), set(zip(["^", *t], t, strict=False))) for t in named]
+    every = [[h for h, k in zip(held, y, strict=True) if k == c] for c in (0, 1)]
+    count = lambda rows, k, x: sum(x in r[k] for r in rows)
+    off = lambda n: max(n - d, 0)
+
+    def log_ratio(own, left, total, shared):
+        p = [(own[c] + (left[c] + b) * shared) / (total[c] + b) for c in (0, 1)]
+        return np.log(p[1] / p[0])
+
+    symbols = ["?", "^", *known]
+    all_ = sum(len(r[0]) for r in held)
+    free = all_ - sum(off(count(held, 0, s)) for s in symbols)
+    p1 = {s: (off(count(held, 0, s)) + free / len(symbols)) / all_ for s in symbols}
+    ids = {"?": 0, "^": 1} | v.known
+    own = {s: [off(count(r, 0, s)) for r in every] for s in symbols}
+    total = [sum(len(r[0]) for r in rows) for rows in every]
+    left = [total[c] - sum(own[s][c] for s in symbols) for c in (0, 1)]
+    for s in symbols:
+        assert np.isclose(got.words[ids[s]], log_ratio(own[s], left, total, p1[s]))
+    pairs = [(a, w) for a in symbols for w in symbols if count(held, 1, (a, w)) > d]
+    assert sorted(ids[a] * v.n + ids[w] for a, w in pairs) == v.pairs.tolist()
+    for a in symbols:
+        kept = [w for x, w in pairs if x == a]
+        after = [sum(x == a for r in rows for x, _ in r[1]) for rows in (*every, held)]
+        left = [after[c] - sum(off(count(every[c], 1, (a, w))) for w in kept) for c in (0, 1)]
+        assert np.isclose(got.context[ids[a]], log_ratio([0, 0], left, after, 1.0))
+        for w in kept:
+            shared = (off(count(held, 1, (a, w))) + (after[2] - sum(off(count(held, 1, (a, x))) for x in kept)) * p1[w]) / after[2]
+            at = v.pairs.tolist().index(ids[a] * v.n + ids[w])
+            assert np.isclose(got.pairs[at], log_ratio([off(count(r, 1, (a, w))) for r in every], left, after, shared))
+    model = toxicity.Model(v)
+    model.differences = got
+    starts = lambda rows, s: sum(any((w + "$").startswith(s) for w in t) for t in rows)
+    by_class = [[t for t, k in zip(texts, y, strict=True) if k == c] for c in (0, 1)]
+    for w in ["w1", "w12", "w24", "w2x", "x"]:
+        want, before = 0.0, [len(r) for r in by_class]
+        for k in range(1, len(w) + 2):
+            n = [starts(r, (w + "$")[:k]) for r in by_class]
+            if sum(n) <= d:
+                break
+            want += log_ratio([off(x) for x in n], [min(x, d) for x in n], before, sum(n) / sum(before))
+            before = n
+        assert np.isclose(model.spelt([w])[0], want)
 
 
 # ---------------------------------------------------------------- op3
