@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +39,23 @@ def reduce_above_mean(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.join(mean, key).groupBy(key).agg(F.sum((F.col(value) > F.col("mean")).cast("long")).alias("n"))
 
 
-def local_reduce(df: DataFrame, keys: list[str], **values: Column) -> DataFrame:
-    """As combine, but within each partition: keys may come out of several. part is the partition."""
-    return combine(df.withColumn("part", F.spark_partition_id()), ["part", *keys], **values)
+def local_reduce(df: DataFrame, keys: list[str], **values: tuple[str, str]) -> DataFrame:
+    """part, keys and values (name=(column, "sum", "min" or "max")) of each partition's groups, without any exchange.
+
+    Keys may come out of several partitions; part is the partition. Batches are reduced as they come, so that a task
+    holds a row for each of its keys and no group's rows. Null keys are groups too.
+    """
+    how = {name: kind for name, (_, kind) in values.items()}
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = ", ".join(["part int", *[f"`{k}` {kinds[k]}" for k in keys], *[f"`{n}` {kinds[c]}" for n, (c, _) in values.items()]])
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            new = pdf.rename(columns={c: n for n, (c, _) in values.items()})
+            held = (new if held is None else pd.concat([held, new])).groupby(keys, dropna=False, as_index=False).agg(how)
+        if held is not None:
+            yield held.assign(part=TaskContext.get().partitionId())
+
+    columns = [F.col(f"`{k}`") for k in keys] + [F.col(f"`{c}`") for c, _ in values.values()]
+    return df.select(*columns).mapInPandas(each, schema)

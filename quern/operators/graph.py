@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.scans import running_total
 from quern.storage import materialize
 
 
@@ -21,14 +22,31 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("deg"))
 
 
-def search(edges: DataFrame, root: int, max_level: int | None = None) -> DataFrame:
+def adjacency(edges: DataFrame) -> DataFrame:
+    """v, start, targets: compressed sparse rows. targets are v's in order; start is where they begin when all vertices'
+    lie end to end by v. A vertex's targets are held as one value, as that form asks for."""
+    rows = edges.groupBy(F.col("src").alias("v")).agg(F.sort_array(F.collect_list("dst")).alias("targets"))
+    return running_total(rows.withColumn("n", F.size("targets")), "v", "n", "start").select("v", "start", "targets")
+
+
+def random_root(edges: DataFrame, seed: int = 0) -> int:
+    """A vertex that edges leave, drawn by a seeded hash, so that reruns agree."""
+    found = edges.agg(F.min_by("src", F.struct(F.xxhash64(F.lit(seed), "src"), "src"))).first()[0]
+    if found is None:
+        raise ValueError("no edges")
+    return found
+
+
+def search(edges: DataFrame, root: int, max_level: int | None = None, seed: int = 0) -> DataFrame:
     """v, parent, level of each vertex reached from root (its own parent); the smallest of possible parents.
 
+    A root below 0 stands for a random one (by seed) that edges leave.
     A round is one join of the frontier with the edges, one partial aggregation and one anti-join with what is reached;
     its result is written, so that plans stay short. Only the count of new vertices reaches the driver.
     """
     spark = edges.sparkSession
     edges = materialize(edges.select("src", "dst"), "edges")
+    root = random_root(edges, seed) if root < 0 else root
     frontier = spark.range(1).select(F.lit(root).cast("long").alias("v"), F.lit(root).cast("long").alias("parent"), F.lit(0).alias("level"))
     tree, level = materialize(frontier, "level"), 0
     frontier = tree

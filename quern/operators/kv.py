@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from typing import Protocol
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.aggregates import combine
 from quern.operators.joins import union_all
+from quern.sources.binary import read_binary, write_binary
 from quern.sources.text import read_lines, write_text
 
 Rows = Iterable[tuple]
@@ -30,6 +34,14 @@ def _names(schema: str) -> list[str]:
     return [f.split()[0] for f in schema.split(",")]
 
 
+class Database(Protocol):
+    """Where a user keeps records."""
+
+    def put(self, record: tuple) -> None: ...
+
+    def close(self) -> None: ...
+
+
 @dataclass(frozen=True)
 class KVDataset:
     """An immutable set of records; each step gives another. keys names the columns that records are grouped by."""
@@ -131,6 +143,10 @@ class KVDataset:
     def union(self, *others: KVDataset) -> KVDataset:
         return KVDataset(union_all(self.df, *(o.df for o in others)), self.keys)
 
+    def combine_columns(self, **values: Column) -> KVDataset:
+        """combine where column aggregates can say it: partial before the shuffle, and all in the JVM."""
+        return KVDataset(combine(self.df, list(self.keys), **values), self.keys)
+
     def scan(self, fn: Callable[[tuple], None]) -> None:
         """fn for each record, where it lies; the set stays as it is."""
         self.df.foreachPartition(lambda rows: [fn(tuple(r)) for r in rows] and None)
@@ -138,8 +154,42 @@ class KVDataset:
     def count(self) -> int:
         return self.df.count()
 
+    def into(self, open_database: Callable[[int], Database]) -> None:
+        """All records into a database of the user's: opened for each partition where it lies, given record by record,
+        and closed, also after an error. A task may run again, so put should overwrite or the partition be replaced."""
+
+        def each(rows: Iterator[tuple]) -> None:
+            database = open_database(TaskContext.get().partitionId())
+            try:
+                for r in rows:
+                    database.put(tuple(r))
+            finally:
+                database.close()
+
+        self.df.foreachPartition(each)
+
     def output(self, path: str, form: str = "text") -> None:
+        """Records as lines of text, as raw binary records, or in any of Spark's forms."""
         if form == "text":
             write_text(self.df, path)
+        elif form == "binary":
+            write_binary(self.df, path)
         else:
             self.df.write.format(form).save(path)
+
+    def scan_output(self, path: str, fn: Callable[[tuple], None], form: str = "text") -> None:
+        """fn for each record of what output has written: (line,) of text, records of this set's columns of other forms."""
+        spark = self.df.sparkSession
+        if form == "text":
+            KVDataset(read_lines(spark, path)).scan(fn)
+        elif form == "binary":
+            KVDataset(read_binary(spark, path, ", ".join(f"{n} {t}" for n, t in self.df.dtypes))).scan(fn)
+        else:
+            KVDataset(spark.read.format(form).schema(self.df.schema).load(path)).scan(fn)
+
+    def __enter__(self) -> KVDataset:
+        """Keeps the records, in memory or on executors' disks, until the block ends."""
+        return KVDataset(self.df.persist(), self.keys, self.pending)
+
+    def __exit__(self, *error: object) -> None:
+        self.df.unpersist()

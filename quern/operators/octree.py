@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.octree import LEVELS, cell, low_edge
+from quern.functions.text import general
 
 
 def cells(points: DataFrame) -> DataFrame:
@@ -33,6 +34,12 @@ def dense_octants(points: DataFrame, density: float) -> DataFrame:
     return df.select("level", at("ix"), at("iy"), at("iz"), "m").groupBy("level", "ix", "iy", "iz").agg(F.sum("m").alias("cnt")).where(F.col("cnt") > limit)
 
 
+def as_lines(found: DataFrame) -> DataFrame:
+    """value: `X=(a,b] Y=(c,d] Z=(e,f] count` for each row of clusters."""
+    span = lambda c: F.concat(F.lit(f"{c.upper()}=("), general(F.col(f"min{c}")), F.lit(","), general(F.col(f"max{c}")), F.lit("]"))
+    return found.select(F.concat_ws(" ", *map(span, "xyz"), F.col("cnt").cast("string")).alias("value"))
+
+
 def clusters(points: DataFrame, density: float) -> DataFrame:
     """minx, maxx, miny, maxy, minz, maxz, cnt of the dense octants of the deepest level that has any."""
     dense = dense_octants(points, density)

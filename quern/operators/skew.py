@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,14 @@ def heavy_keys(df: DataFrame, key: str, parts: int, share: float = 0.8) -> DataF
     return counts.where(F.col("cnt") * F.lit(parts) > F.lit(share * total)).select(key, "cnt")
 
 
+def scan_split_keys(df: DataFrame, key: str, parts: int, fn: Callable[[object, int], None], share: float = 0.8) -> int:
+    """fn(key, count) on the driver for each heavy key; returns how many there are. There are fewer than parts / share."""
+    found = heavy_keys(df, key, parts, share).collect()
+    for k, n in found:
+        fn(k, n)
+    return len(found)
+
+
 def skew_report(df: DataFrame, part: Column, factor: float = 1.5, least: int = 1024) -> DataFrame:
     """min_cnt, max_cnt, imbalanced over the parts: over `factor` times the smallest, unless the largest is below `least`."""
     by = df.groupBy(part.alias("part")).agg(F.count("*").alias("cnt"))

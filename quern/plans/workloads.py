@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +19,6 @@ def word_count(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def word_count_combined(texts: DataFrame, text: str = "text") -> DataFrame:
-    """The same by callbacks: a map that emits (word, 1), and a combiner that adds."""
-
-    def emit(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for (value,) in rows:
-            for w in (value or "").replace("\n", " ").split(" "):
-                if w and len(w.encode()) < 1024:
-                    yield w, 1
-
-    pairs = KVDataset(texts.select(text)).map(emit, "word string, cnt long", ("word",), shuffle=False)
-    return pairs.combine(lambda a, b: (a[0] + b[0],)).df
+    """The same as key/value records (word, 1), whose values a combiner adds before and after the shuffle."""
+    ones = KVDataset(words(texts, text).withColumn("cnt", F.lit(1).cast("long")), ("word",))
+    return ones.combine_columns(cnt=F.sum("cnt")).df

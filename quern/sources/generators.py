@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.functions.text import ALPHABET
+from quern.functions.text import ALPHABET, index_word
+from quern.operators.scans import numbered
 
 
 def uniform(index: Column, seed: int, salt: str = "") -> Column:
@@ -41,8 +42,7 @@ def unique_keys(spark: SparkSession, n: int, seed: int = 0, mean: int = 6, devia
         if drawn > 64 * n + 4096:
             raise ValueError(f"only {found} distinct words of this length were found")
         drawn += 2 * (n - found) + 16
-    first = words.orderBy("id").limit(n)
-    return first.select((F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("idx"), "word")
+    return numbered(words, "id").where(F.col("idx") < n).select("idx", "word")
 
 
 def zipf_weights(spark: SparkSession, n: int, alpha: float) -> DataFrame:
@@ -63,16 +63,32 @@ def zipf_ranks(cdf: Sequence[float], u: Column) -> Column:
     return rank(u)
 
 
-def zipf_words(spark: SparkSession, items: int, n: int, alpha: float, seed: int = 0, value_length: int | None = None, mean: int = 5, deviation: int = 0) -> DataFrame:
-    """idx, word (and value): items words of a dictionary of n, of which the r-th is drawn in proportion to 1 / r ** alpha."""
+def zipf_words(
+    spark: SparkSession, items: int, n: int, alpha: float, seed: int = 0, value_length: int | None = None, mean: int = 5, deviation: int = 0,
+    heavy: float = 0.0, indexed: bool = False, exchange: bool = False,
+) -> DataFrame:
+    """idx, word (and value): items words of a dictionary of n, of which the r-th is drawn in proportion to 1 / r ** alpha.
+
+    heavy: the share of items that are the first word, whatever is drawn. indexed: words are their number in base 62 (of
+    mean digits) rather than random signs. exchange: rows come in a seeded order, not in that of their numbers.
+    """
     cdf = [r.cdf for r in zipf_weights(spark, n, alpha).orderBy("rank").collect()]  # n numbers, of the dictionary
-    words = unique_keys(spark, n, seed, mean, deviation)
-    drawn = spark.range(items).select("id", (zipf_ranks(cdf, uniform(F.col("id"), seed, "zipf")) - 1).alias("idx"))
+    if indexed:
+        words = spark.range(n).select(F.col("id").alias("idx"), index_word(F.col("id"), mean).alias("word"))
+    else:
+        words = unique_keys(spark, n, seed, mean, deviation)
+    idx = zipf_ranks(cdf, uniform(F.col("id"), seed, "zipf")) - 1
+    drawn = spark.range(items).select("id", F.when(uniform(F.col("id"), seed, "heavy") < heavy, F.lit(0)).otherwise(idx).cast("long").alias("idx"))
     out = drawn.join(words, "idx").select(F.col("id").alias("idx"), "word")
     if value_length:
         low = 10 ** (value_length - 1)
         out = out.withColumn("value", (F.lit(low) + F.floor(uniform(F.col("idx"), seed, "value") * (10**value_length - low))).cast("long"))
-    return out
+    return shuffled(out, seed) if exchange else out
+
+
+def word_stats(words: DataFrame) -> DataFrame:
+    """word, cnt of each distinct word: the generator's statistics file, and the second side of a join with its words."""
+    return words.groupBy("word").agg(F.count("*").alias("cnt"))
 
 
 def histogram(words: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -90,3 +106,8 @@ def points(spark: SparkSession, n: int, seed: int = 0, center: Sequence[float] =
 def shuffled(df: DataFrame, seed: int = 0) -> DataFrame:
     """df in an order that the seed and the rows decide."""
     return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns]))
+
+
+def point_lines(points_: DataFrame) -> DataFrame:
+    """value: ` x y z`, coordinates in 17 places behind the point, of rows (x, y, z)."""
+    return points_.select(F.concat(*[F.format_string(" %.17f", F.col(c)) for c in "xyz"]).alias("value"))

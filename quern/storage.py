@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or the context's; where neither is set (tests), a new temporary one."""
+    """The folder in spark.checkpoint.dir, or the context's. Where neither is set, a session in one process (tests) gets a
+    new temporary one; any other is an error, as its executors wouldn't see such a folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         found = f"file://{tempfile.mkdtemp(prefix='quern-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found

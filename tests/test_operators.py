@@ -7,9 +7,12 @@ from quern.functions import octree as cells
 from quern.functions.text import parse_integer, tokens
 from quern.operators import graph, joins
 from quern.operators.kv import KVDataset
-from quern.sources.binary import read_binary
+from quern.operators.scans import numbered, running_total
+from quern.sources.binary import read_binary, write_binary
 from quern.sources.generators import histogram, points, unique_keys, zipf_words
-from quern.sources.text import list_files, read_lines, read_pairs, write_text
+from quern.sources.text import list_files, read_lines, read_pairs, read_records, write_text
+from quern.storage import shared_dir
+from quern.streaming import word_counts
 
 
 def test_lines_and_files(spark, tmp_path):
@@ -18,7 +21,7 @@ def test_lines_and_files(spark, tmp_path):
     (tmp_path / "in/deep/b").write_bytes(b"last")
     (tmp_path / "in/.hidden").write_bytes(b"no")
     (tmp_path / "in/_kept").write_bytes(b"u")
-    assert sorted(r.value for r in read_lines(spark, str(tmp_path / "in")).collect()) == sorted(["x\r", "", " y\tz", "last"])
+    assert sorted(r.value for r in read_lines(spark, str(tmp_path / "in")).collect()) == sorted(["x\r", "", " y\tz", "last", "u"])
     assert sorted(p.rsplit("/", 1)[-1] for p in list_files(spark, [str(tmp_path / "in")])) == ["_kept", "a", "b"]
     with pytest.raises(Exception):
         list_files(spark, [str(tmp_path / "missing")])
@@ -98,3 +101,102 @@ def test_generators(spark):
     assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, zipf_words(spark, 2000, 50, 0.5, seed=1, value_length=4).collect()))
     assert drawn.where("value between 1000 and 9999").count() == 2000 == histogram(drawn, unique_keys(spark, 50, 1, 5, 0)).agg(F.sum("cnt")).first()[0]
     assert abs(points(spark, 5000, 2).agg(F.stddev("x")).first()[0] - 0.5) < 0.03
+
+
+def test_search_of_a_long_chain(spark):
+    """Levels beyond any cap, a random root, and compressed rows."""
+    chain = [(i, i + 1) for i in range(24)]
+    edges = spark.createDataFrame(chain + [(b, a) for a, b in chain], "src long, dst long")
+    assert {r.v: (r.parent, r.level) for r in graph.search(edges, 0).collect()} == {i: (max(0, i - 1), i) for i in range(25)}
+    root = graph.random_root(edges, seed=7)
+    assert root == graph.random_root(edges.repartition(3), seed=7) and graph.search(edges, -1, seed=7).where("level = 0").first().v == root
+    rows = graph.adjacency(edges).orderBy("v").collect()
+    assert [r.start for r in rows] == [0, *[2 * i - 1 for i in range(1, 25)]] and rows[3].targets == [2, 4]
+    with pytest.raises(ValueError):
+        graph.random_root(edges.limit(0))
+
+
+def test_records_of_a_boundary_of_the_users(spark, tmp_path):
+    """Records of five bytes, whatever they are, across chunks; and files that Spark's readers pass over."""
+    (tmp_path / "a").write_bytes(b"ab\nde" * 1000)
+    (tmp_path / "_b").write_bytes(b"12345678")
+
+    def fives(chunk, last):
+        end = len(chunk) - len(chunk) % 5
+        records = [chunk[i : i + 5] for i in range(0, end, 5)]
+        return (records + [chunk[end:]] if last and chunk[end:] else records), b"" if last else chunk[end:]
+
+    got = sorted(r.value for r in read_records(spark, str(tmp_path), fives, chunk=7).collect())
+    assert got == sorted(["ab\nde"] * 1000 + ["12345", "678"])
+    assert read_lines(spark, str(tmp_path), split_bytes=500).count() == 1002
+    (tmp_path / "empty").mkdir()
+    assert read_lines(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_binary_files(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id AS k", "cast(id AS double) / 3 AS v").repartition(3)
+    assert write_binary(df, str(tmp_path / "out")) == 1000
+    assert sorted(p.name[:5] for p in (tmp_path / "out").iterdir()) == ["part-"] * 3
+    assert sorted(map(tuple, read_binary(spark, str(tmp_path / "out"), "k long, v double", split_bytes=1000).collect())) == sorted(map(tuple, df.collect()))
+    with pytest.raises(FileExistsError):
+        write_binary(df, str(tmp_path / "out"))
+
+
+def test_joins_of_equal_rows_and_wide_sides(spark):
+    heavy = spark.range(1000).selectExpr("'h' AS k", "1 AS salt")
+    other = spark.createDataFrame([("h", 1), ("h", 2)], "k string, v int")
+    assert joins.split(heavy, other, "k", parts=4, fans=8).count() == 2000
+    wide = spark.createDataFrame([("h", "x" * 5000)], "k string, w string")
+    plan = joins.with_small(heavy, wide, "k", most_bytes=1000)._jdf.queryExecution().toString()
+    assert "ResolvedHint" not in plan and joins.with_small(heavy, wide, "k", most_bytes=1000).count() == 1000
+
+
+def test_users_database_scans_and_lifetime(spark, tmp_path):
+    data = KVDataset(spark.range(50).selectExpr("id AS k", "id % 3 AS v").repartition(2), ("k",))
+    data.output(str(tmp_path / "text"))
+    data.output(str(tmp_path / "raw"), "binary")
+    data.output(str(tmp_path / "columns"), "parquet")
+    for form in ("text", "binary", "parquet"):
+        seen = spark.sparkContext.accumulator(0)
+        data.scan_output(str(tmp_path / {"text": "text", "binary": "raw", "parquet": "columns"}[form]), lambda r, seen=seen: seen.add(int(str(r[0]).split(" ")[0])), form)
+        assert seen.value == sum(range(50))
+    with data as kept:
+        assert kept.df.storageLevel.useMemory and kept.count() == 50
+    assert not data.df.storageLevel.useMemory
+
+    class Failing:
+        def put(self, record):
+            raise ValueError("full")
+
+        def close(self):
+            open(f"{tmp_path}/closed", "w").close()
+
+    with pytest.raises(Exception, match="full"):
+        data.into(lambda part: Failing())
+    assert (tmp_path / "closed").exists()
+
+
+def test_running_totals(spark):
+    df = spark.range(500).selectExpr("id * 7 % 500 AS id", "id % 5 AS n").repartition(4)
+    got = sorted(map(tuple, running_total(df, "id", "n").select("id", "n", "before").collect()))
+    assert [b for _, _, b in got] == [sum(n for _, n, _ in got[:i]) for i in range(500)]
+    assert sorted(r.idx for r in numbered(df, "id").collect()) == list(range(500))
+    assert running_total(df.limit(0), "id", "n").count() == 0
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark):
+    class Fake:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Fake)
+
+
+def test_streamed_counts(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a").write_text("x y x\n")
+    (tmp_path / "in/b").write_text("y\n")
+    run = word_counts(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("streamed").outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination(60)
+    assert dict(map(tuple, spark.table("streamed").collect())) == {"x": 2, "y": 2}
