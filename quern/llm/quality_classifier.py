@@ -2,7 +2,8 @@
 
 Features are counted once for every document, in Arrow batches, and written (a few dozen numbers a document); the
 labelled rows among them then meet their labels without any text. A bounded sample of labelled rows is fitted on the
-driver; the threshold, a quantile of the scores, is taken over all labelled learnable rows.
+driver; the threshold is a quantile of the scores over all labelled learnable rows, of 201 levels of either label's scores
+the one that parts the labels best.
 """
 
 from __future__ import annotations
