@@ -11,10 +11,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quern.llm.shared import remainder_is, table
+from quern.llm.shared import remainder_is, slices, table
 
 #: n-grams in a profile; letters in an n-gram; texts of each language that are learned from, at most (about).
 TOP, LONGEST, MAX_TEXTS, MAX_LANGS = 400, 3, 1500, 1000
@@ -29,7 +31,7 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     A code holds up to three code points of 21 bits each, so different n-grams never share one.
     """
     words = _OTHER.sub(" ", (text or "").lower()).strip()
-    if not words:
+    if not any(map(str.isalpha, words)):  # \w has signs besides that are no letters, as ² and Ⅷ
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     c = np.frombuffer(f" {words} ".encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
     found, each = [c[c != 32]], c
@@ -109,14 +111,19 @@ def _sample(docs: DataFrame, mod: int = 5, rest: int = 0, max_texts: int = MAX_T
 
 
 def predictions(docs: DataFrame, profiles: Profiles, *carry: str) -> DataFrame:
-    """The columns in carry, lang_pred and lang_score of each row; carry must have text, and mustn't have those names."""
+    """The columns in carry, and lang_pred and score, as the struct quern_lang, of each row; carry must have text."""
     known = docs.sparkSession.sparkContext.broadcast(profiles)
-    def each(text: pd.Series) -> pd.DataFrame:
-        found = [known.value.predict(t) for t in text]
-        return pd.DataFrame({"lang_pred": [f[0] for f in found], "score": [f[1] for f in found]})
+    df = docs.select(*[F.col(f"`{c}`") for c in carry])
+    names, text = [*df.columns, "quern_lang"], df.columns.index("text")
 
-    udf = F.pandas_udf(each, "lang_pred string, score double")
-    return docs.select(*[F.col(f"`{c}`") for c in carry], udf(F.col("text")).alias("quern_lang"))
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text):
+            found = [known.value.predict(t) for t in part.column(text).to_pylist()]
+            pred = pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pred], names=names)
+
+    kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return df.mapInArrow(each, T.StructType([*df.schema.fields, T.StructField("quern_lang", kind)]))
 
 
 def language_id(docs: DataFrame, mod: int = 5, rest: int = 0) -> DataFrame:
@@ -133,15 +140,17 @@ def accepted(docs: DataFrame) -> DataFrame:
 
     What is too low is learned: below SHARE of the QUANTILE of the scores of the texts that the profiles come from.
 
-    A corpus without any labelled row teaches no language, and everything in it is rejected as und.
+    A corpus without any labelled row teaches no language, so that nothing tells against a text: all with a letter stay.
     """
-    profiles, sample, least = learn(docs), _sample(docs), None
-    if sample is not None:
-        score = F.col("quern_lang.score")
-        least = predictions(sample, profiles, "text").where(score > 0).agg(F.percentile(score, F.lit(QUANTILE))).first()[0]
-    df = predictions(docs, profiles, *docs.columns)
+    sample = _sample(docs)
+    if sample is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    profiles, score = learn(docs), F.col("quern_lang.score")
+    least = predictions(sample, profiles, "text").where(score > 0).agg(F.percentile(score, F.lit(QUANTILE))).first()[0]
+    own = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]  # no name of theirs can clash so
+    df = predictions(docs.toDF(*own), profiles, *own)
     known = (F.col("quern_lang.lang_pred") != "und") & (F.col("quern_lang.score") > 0) & (F.col("quern_lang.score") >= SHARE * (least or 0.0))
-    return df.where(known).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return df.where(known).select(*own).toDF(*docs.columns)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
