@@ -18,11 +18,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import materialize, table
+from quern.llm.shared import materialize, slices, table
 
 WORDS, SIMILAR = 5, 0.8
 #: (sketches, shingles in each): for every text, and for those whose buckets one leader couldn't resolve. Texts of 0.8
@@ -37,10 +38,10 @@ _SEEDS = np.random.default_rng(6).integers(1, 1 << 63, 128).astype(np.uint64)
 
 
 class _WordHashes(dict):
-    """64-bit hashes of words, remembered; emptied when a million are held."""
+    """64-bit hashes of words, remembered; emptied when 65,536 are held."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 65_536:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -92,8 +93,9 @@ def sketches(h: np.ndarray, many: int, length: int) -> np.ndarray:
 def alike(x: np.ndarray, y: np.ndarray, least: float = SIMILAR) -> bool:
     """Whether the aligned shingles of two word sequences are `least` of all: c / (a + b - c) >= least.
 
-    c is the longest common subsequence of shingles, by bit-parallel alignment within a band: at that similarity at most
-    (a + b) (1 - least) / (1 + least) shingles are out of line, so no alignment that could pass leaves the band.
+    c is the longest common subsequence of shingles, by bit-parallel alignment of a band: at that similarity at most
+    (a + b) (1 - least) / (1 + least) shingles are out of line, so no alignment that could pass leaves the band. Only the
+    band's rows are held, as one number that slides along the diagonal.
     """
     a, b = shingles(x), shingles(y)
     na, nb = len(a), len(b)
@@ -114,47 +116,68 @@ def alike(x: np.ndarray, y: np.ndarray, least: float = SIMILAR) -> bool:
     if common + most < need:
         return False
     band = int((na + nb) * (1 - least) / (1 + least)) + 1
-    where: dict[int, int] = {}
-    for i, c in enumerate(ia.tolist()):
-        where[c] = where.get(c, 0) | (1 << i)
-    full = (1 << len(ia)) - 1
-    v, window = full, (1 << (2 * band + 1)) - 1
-    for j, c in enumerate(ib.tolist()):
-        hit = where.get(c)
-        if hit:
-            u = v & hit & (window << (j - band) if j > band else window >> (band - j))
-            v = ((v + u) | (v - u)) & full
-    return common + len(ia) - v.bit_count() >= need
+    return common + _in_band(ia, ib, band) >= need
+
+
+def _in_band(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """The longest common subsequence of two sequences of small integers whose places differ by `band` at most.
+
+    Bit i of v tells of row base + i; a 0 is where the subsequence grows. Rows below the band can't change any more and
+    are counted as they leave it; rows above are all 1.
+    """
+    order = np.argsort(a, kind="stable")
+    first = np.searchsorted(a[order], b)
+    last = np.searchsorted(a[order], b, "right")
+    order = order.tolist()
+    v = window = (1 << (2 * band + 1)) - 1
+    base, grown = -band, 0
+    for j in np.flatnonzero(last > first).tolist():
+        hit = 0
+        for i in order[first[j] : last[j]]:
+            if -band <= i - j <= band:
+                hit |= 1 << (i - j + band)
+        if not hit:
+            continue
+        step = j - band - base  # rows that have left the band since the last hit
+        if step:
+            grown += step - (v & ((1 << step) - 1)).bit_count() if step <= 2 * band else 2 * band + 1 - v.bit_count()
+            v = (v >> step) | (window ^ (window >> step)) if step <= 2 * band else window
+            base += step
+        u = v & hit
+        v = ((v + u) | (v - u)) & window
+    return grown + 2 * band + 1 - v.bit_count()
 
 
 def _described(docs: DataFrame) -> DataFrame:
     """doc_id, text_key and, of texts with a word, node (128-bit key of the words), n (shingles), short sketches, words (32-bit hashes)."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
-        for pdf in batches:
-            for k in range(0, len(pdf), 500):
-                part, rows = pdf.iloc[k : k + 500], []
-                for text in part["text"]:
-                    words = (text or "").encode("utf-8", "replace").split()
-                    if not words:
-                        rows.append((None, 0, None, None))
-                        continue
-                    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-                    # shingles are made of the 32-bit hashes, so that sketches and alignment see the same
-                    own = (h >> np.uint64(32)).astype(np.uint32)
-                    rows.append((xxhash.xxh3_128_digest(h.tobytes()), max(1, len(words) - WORDS + 1), sketches(labelled(shingles(own)), *SHORT).view(np.int64), own.tobytes()))
-                node, n, sk, own = zip(*rows, strict=True)
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "text_key": part["text_key"], "node": node, "n": n, "sketches": sk, "words": own})
+        for part in slices(batches, 2):
+            rows = []
+            for text in part.column(2).to_pylist():
+                words = (text or "").encode("utf-8", "replace").split()
+                if not words:
+                    rows.append((None, 0, None, None))
+                    continue
+                h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+                # shingles are made of the 32-bit hashes, so that sketches and alignment see the same
+                own = (h >> np.uint64(32)).astype(np.uint32)
+                rows.append((xxhash.xxh3_128_digest(h.tobytes()), max(1, len(words) - WORDS + 1), sketches(labelled(shingles(own)), *SHORT).view(np.int64), own.tobytes()))
+            node, n, sk, own = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(sk, pa.list_(pa.int64())), pa.array(own, pa.binary())],
+                names=["doc_id", "text_key", "node", "n", "sketches", "words"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("text_key"), "text")
-    return rows.mapInPandas(each, "doc_id long, text_key binary, node binary, n long, sketches array<long>, words binary")
+    return rows.mapInArrow(each, "doc_id long, text_key binary, node binary, n long, sketches array<long>, words binary")
 
 
-def _words_of(ends: DataFrame, described: DataFrame, most: int = 1_000_000) -> DataFrame:
+def _words_of(ends: DataFrame, described: DataFrame, most: int = 250_000) -> DataFrame:
     """node, words of the nodes in ends, written.
 
-    Up to `most` nodes (16 bytes each) are sent to where the words are, which then needn't be shuffled; more are joined.
+    Up to `most` nodes (16 bytes each, so 4 MB) are sent to where the words are, which then needn't be shuffled; more are
+    joined.
     """
     ends = materialize(ends.distinct(), "near-ends")
     few = ends.count() <= most
