@@ -29,6 +29,11 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return running_total(rows.withColumn("n", F.size("targets")), "v", "n", "start").select("v", "start", "targets")
 
 
+def cut_edges(edges: DataFrame, visited: DataFrame) -> DataFrame:
+    """edges without those that leave visited vertices (v), as a search that carries its edges along drops them."""
+    return edges.join(visited.select("v"), F.col("src") == F.col("v"), "left_anti")
+
+
 def random_root(edges: DataFrame, seed: int = 0) -> int:
     """A vertex that edges leave, drawn by a seeded hash, so that reruns agree."""
     found = edges.agg(F.min_by("src", F.struct(F.xxhash64(F.lit(seed), "src"), "src"))).first()[0]

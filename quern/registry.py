@@ -167,6 +167,14 @@ def skew_report(spark, d):
     return skew.skew_report(_t(spark, d, "events"), F.col("user_id") % 8)
 
 
+@query("SELECT count(*) AS n, count(DISTINCT l_partkey) AS keys, 8::BIGINT AS parts, true AS even FROM lineitem")
+def virtual_bins(spark, d):
+    """Rows dealt by key through redirected bins: keys are whole, and no part is a twentieth above the mean."""
+    dealt = skew.balanced(_t(spark, d, "lineitem").select("l_partkey"), "l_partkey", 8)
+    by = aggregates.local_reduce(dealt.withColumn("n", F.lit(1).cast("long")), ["l_partkey"], n=("n", "sum")).groupBy("part").agg(F.sum("n").alias("n"), F.count("*").alias("keys"))
+    return by.agg(F.sum("n").alias("n"), F.sum("keys").alias("keys"), F.count("*").alias("parts"), (F.max("n") <= 1.05 * F.avg("n")).alias("even"))
+
+
 @query("""SELECT part, count(*) AS n FROM (SELECT CASE WHEN v < e THEN v // (w + 1) ELSE x + (v - e) // w END AS part FROM
 (SELECT o_orderkey % 1003 AS v, 1003 // 8 AS w, 1003 % 8 AS x, (1003 // 8 + 1) * (1003 % 8) AS e FROM orders)) GROUP BY part""")
 def partition_block(spark, d):
@@ -211,6 +219,12 @@ def edges_below_bound(spark, d):
     return graph.edges_of(edges, "src", "dst", n=n).agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {_BOTH} SELECT s AS src, d AS dst FROM ed WHERE s NOT IN (SELECT p_partkey * 2 + 1 FROM part WHERE p_size < 25)")
+def cut_edge_list(spark, d):
+    visited = _t(spark, d, "part").where("p_size < 25").select((F.col("p_partkey") * 2 + 1).alias("v"))
+    return graph.cut_edges(_graph(spark, d), visited)
+
+
 @query(_BFS + "SELECT v, parent, level FROM t")
 def bfs_levels(spark, d):
     return _tree(spark, d)[1]

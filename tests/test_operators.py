@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import octree as cells
 from quern.functions.text import parse_integer, tokens
-from quern.operators import graph, joins
+from quern.operators import graph, joins, skew
 from quern.operators.kv import KVDataset
 from quern.operators.scans import numbered, running_total
 from quern.sources.binary import read_binary, write_binary
@@ -200,3 +200,11 @@ def test_streamed_counts(spark, tmp_path):
     run = word_counts(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("streamed").outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert dict(map(tuple, spark.table("streamed").collect())) == {"x": 2, "y": 2}
+
+
+def test_bins_are_redirected():
+    loads = {b: (b * 37 % 11) * (10 if b % 4 == 0 else 1) for b in range(400)}
+    to = skew.redirected(loads, 4)
+    total = [sum(n for b, n in loads.items() if to[b] == p) for p in range(4)]
+    assert max(total) <= 1.01 * sum(loads.values()) / 4 and to.keys() == loads.keys()
+    assert skew.redirected({0: 100, 1: 1}, 2) == {0: 0, 1: 1} and skew.redirected({}, 3) == {}
