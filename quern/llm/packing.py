@@ -2,8 +2,10 @@
 
 A document's token ids are hashed into a vector, projected to a few dimensions and given a Hilbert key; documents are
 range-sorted by it, laid end to end and cut every max_tokens. Each text is tokenised once: its ids (two bytes each) are
-written to the shared folder, so that neither the sampling of ranges nor a lost executor tokenises again. Ranges also
-split by document id, so a third of all rows being copies of one text doesn't meet in one task; a task holds one sequence.
+written to the shared folder, so that a lost executor doesn't tokenise again. Ranges are stretches of the curve of an
+equal number of tokens, whatever the table's size, told from a count by cells of the curve (65,536 at most); a cell of
+more tokens, as a third of all rows being copies of one text makes it, is dealt to several ranges by a hash of document
+and ids. Ranges depend on the documents alone, so reruns cut alike; a task holds one sequence.
 """
 
 from __future__ import annotations
@@ -11,14 +13,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import materialize, table
+from quern.llm.shared import materialize, slices, table
 
+#: Ids of a range (two bytes each); bits of a cell of the curve.
+RANGE_TOKENS, CELL_BITS = 8_000_000, 16
 HASHED, DIMS, BITS, END = 256, 4, 8, 1
 _TOKENIZERS: dict[str, object] = {}
 
@@ -84,16 +86,14 @@ class Curve:
 def tokenized(docs: DataFrame, ranks: str | None = None, seed: int = 0) -> DataFrame:
     """doc_id, key, tokens (with the end id), ids (unsigned 16-bit, little-endian) of each row."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, curve = tokenizer(ranks), Curve(seed)
-        for pdf in batches:
-            for k in range(0, len(pdf), 500):
-                part = pdf.iloc[k : k + 500]
-                ids = [np.array([*encode(t or ""), END], dtype="<u2") for t in part["text"]]
-                at = np.minimum(np.array([curve.point(x) for x in ids]).astype(np.int64), (1 << BITS) - 1)
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "key": hilbert(at), "tokens": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]})
+        for part in slices(batches, 1):
+            ids = [np.array([*encode(t or ""), END], dtype="<u2") for t in part.column(1).to_pylist()]
+            at = np.minimum(np.array([curve.point(x) for x in ids]).astype(np.int64), (1 << BITS) - 1)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hilbert(at)), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "key", "tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(each, "doc_id long, key long, tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, key long, tokens long, ids binary")
 
 
 class _Sequences:
@@ -145,28 +145,48 @@ class _Sequences:
         return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, max_tokens: int = 2048, ranks: str | None = None, seed: int = 0) -> DataFrame:
+def _ranged(tokens: DataFrame, range_tokens: int) -> DataFrame:
+    """range, doc_id, ids: each document's range along the curve, in a partition of its own and in order."""
+    cell = F.shiftright("key", DIMS * BITS - CELL_BITS)
+    cells = tokens.groupBy(cell.alias("cell")).agg(F.sum("tokens").alias("tokens")).orderBy("cell").toPandas()  # 2 ** CELL_BITS rows at most
+    rows, done, last = [], 0, 0
+    for c, n in zip(cells["cell"].tolist(), cells["tokens"].tolist(), strict=True):
+        first, done = done // range_tokens, done + n
+        last = max(first, (done - 1) // range_tokens)
+        rows.append((c, first, last - first + 1))
+    dealt = F.broadcast(tokens.sparkSession.createDataFrame(rows, "cell long, first int, parts int"))
+    part = F.col("first") + F.pmod(F.xxhash64("doc_id", "ids"), F.col("parts")).cast("int")
+    df = tokens.withColumn("cell", cell).join(dealt, "cell").select(part.alias("range"), "key", "doc_id", "ids")
+    return df.repartitionById(last + 1, "range").sortWithinPartitions("range", "key", "doc_id", F.crc32("ids"), "ids").select("range", "doc_id", "ids")
+
+
+def pack(docs: DataFrame, max_tokens: int = 2048, ranks: str | None = None, seed: int = 0, range_tokens: int = RANGE_TOKENS) -> DataFrame:
     """Pieces: doc_id, start, length, ids (unsigned 32-bit, little-endian), doc_tokens, sequence_id, offset.
 
-    docs has doc_id and text; null texts are empty and have the end id alone, and repeated rows are packed each. Ties on
-    the curve go by doc_id, then by ids. Sequences are full but for the last of each range, which is cut into powers of
-    two, so nothing is padded. sequence_id names the range in its upper bits. An empty table has no sequence.
+    docs has doc_id and text, and other columns aren't read; null texts are empty and have the end id alone, and repeated
+    rows are packed each. Ties on the curve go by doc_id, then by ids. Sequences are full but for the last of each range
+    (range_tokens ids), which is cut into powers of two, so nothing is padded. sequence_id names the range in its upper
+    bits. An empty table has no sequence.
     """
     tokens = materialize(tokenized(docs, ranks, seed), "packing-tokens")
-    along = tokens.repartitionByRange("key", "doc_id", F.crc32("ids")).sortWithinPartitions("key", "doc_id", F.crc32("ids"), "ids").select("doc_id", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Sequences(max_tokens, TaskContext.get().partitionId() << 40)
+        out, now = None, None
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for own, doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if own != now:
+                    if out:
+                        out.finish()
+                        yield out.take()
+                    out, now = _Sequences(max_tokens, own << 40), own
                 out.add(doc_id, np.frombuffer(ids.as_buffer(), dtype="<u2"))
                 if len(out.done) >= 2000:
                     yield out.take()
+        if out:
+            out.finish()
             yield out.take()
-        out.finish()
-        yield out.take()
 
-    return along.mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return _ranged(tokens, range_tokens).mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
