@@ -1,6 +1,7 @@
 """The operators against brute force, round trips and held-out accuracy."""
 
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -8,6 +9,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 
 import __spark_entry__
 import corpus_pipeline
@@ -42,6 +44,36 @@ def test_op1_model_learns(spark):
     assert [r.verdict for r in url_filters.judge(df, w, rules=()).orderBy("page_id").collect()] == ["block", "allow"]
 
 
+def spark_hash(*texts):
+    """xxhash64 of several strings as Spark has it: each is the next one's seed's."""
+    seed = 42
+    for t in texts:
+        seed = xxhash.xxh64_intdigest(t.encode(), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def test_op1_probability_by_hand(spark):
+    weights = np.random.default_rng(2).normal(size=257).round(3).tolist()
+    urls = ["http://ab.example/x/yz", "https://é中.test/" + "q" * 40, "http://a", "none"]
+    got = {r.page_id: r for r in url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), weights, rules=()).collect()}
+    for i, r in got.items():
+        shown = f"^{r.host}$"
+        grams_ = [(k, t[j : j + n]) for k, t, n in (("h3", shown, 3), ("h4", shown, 4), ("p3", r.path, 3)) for j in range(len(t) - n + 1)]
+        total = sum(weights[spark_hash(k, g) % 256] for k, g in grams_) / max(1, len(grams_)) ** 0.5
+        assert np.isclose(r.p_block, 1 / (1 + np.exp(-total - weights[-1]))), urls[i]
+
+
+def test_op1_hosts_that_taught_nothing(spark):
+    """Every fourth host of the labelled table is left out of training and judged."""
+    hosts = sorted({re.match(r"https?://([^/]*)", u)[1] for u, _ in url_filters.LABELLED_URLS})
+    out = set(hosts[::4])
+    rows = [(u, y, re.match(r"https?://([^/]*)", u)[1] in out) for u, y in url_filters.LABELLED_URLS]
+    w = url_filters.train(spark, spark.createDataFrame([r[:2] for r in rows if not r[2]], "url string, label int"))
+    held = [r for r in rows if r[2]]
+    got = {r.page_id: r.verdict for r in url_filters.judge(spark.createDataFrame([(i, r[0]) for i, r in enumerate(held)], "page_id long, url string"), w, rules=()).collect()}
+    assert np.mean([(got[i] == "block") == (y == 1) for i, (_, y, _) in enumerate(held)]) >= 0.8
+
+
 # ---------------------------------------------------------------- op2, op5, op9
 
 
@@ -86,6 +118,27 @@ def test_op2_pairs_order_scores():
     assert np.mean(s[y == 1][:, None] > s[y == 0][None, :]) > 0.97
 
 
+def test_op2_weights_are_the_least_loss_of_the_pairs():
+    """The loss of the drawn preference pairs, written out, is no less anywhere near the weights found."""
+    rng, n, pairs = np.random.default_rng(5), 60, 4
+    x = rng.normal(size=(n, quality_classifier.N_FEATURES))
+    y = (x[:, 0] + rng.normal(size=n) > 0).astype(int)
+    model = quality_classifier.BradleyTerry(x, y, pairs=pairs, seed=3)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    z = model.shaped(x)
+
+    def loss(w, ab):
+        return np.mean([np.log1p(np.exp(-(z[a] - z[b]) @ w)) for a, b in ab]) + 0.5e-3 * w @ w
+
+    draw = np.random.default_rng(3)
+    more = draw.choice(good, len(bad) * pairs)
+    loser = draw.choice(bad, len(good) * pairs)
+    ab = [*zip(np.repeat(good, pairs), loser, strict=True), *zip(more, np.repeat(bad, pairs), strict=True)]
+    best = loss(model.w, ab)
+    for _ in range(30):
+        assert loss(model.w + rng.normal(size=len(model.w)) * 0.05, ab) >= best - 1e-9
+
+
 def test_op9_new_words_of_a_toxic_stem(spark):
     rng = np.random.default_rng(1)
     rows = [(i, " ".join(words(rng, rng.integers(20, 80)) + ([f"grumpf{'abcdefgh'[i % 8]}o"] if i % 5 == 0 else []))) for i in range(300)]
@@ -205,6 +258,33 @@ def test_op3_recall_and_scores(spark):
     assert got.query_id.nunique() == 60 and hits / 300 >= 0.9
 
 
+def test_op3_recall_on_the_tables(spark):
+    d = "/root/testdata/sf0.1"
+    t = pd.read_parquet(f"{d}/embeddings.parquet")
+    v = np.array(t.embedding.tolist(), dtype=float)
+    unit, ids = v / np.linalg.norm(v, axis=1)[:, None], t.vec_id.to_numpy()
+    got = neighbours.op3_nearest_neighbours(spark, d).toPandas().groupby("query_id").vec_id.apply(set)
+    hits = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = unit @ unit[q]
+        s[q] = -9
+        hits += len(set(ids[np.lexsort((ids, -s))[:5]]) & got[ids[q]])
+    assert hits >= 0.95 * 5 * len(got)
+
+
+def test_op3_repeated_rows_are_one(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(40, 8))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    alone = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0).collect()
+    twice = spark.createDataFrame(rows + rows[:25] + [(20, (v[20] + 9).tolist()), (0, [1.0, 2.0])], "vec_id long, embedding array<double>").repartition(3)
+    got = neighbours.nearest(twice, lambda i: i % 20 == 0, chunk=16, block=1, group=2).collect()
+    as_rows = lambda rows, q: sorted((r["rank"], r.vec_id, round(r.score, 12)) for r in rows if r.query_id == q)
+    assert as_rows(got, 0) == as_rows(alone, 0)
+    small = min(v[20].tolist(), (v[20] + 9).tolist())
+    assert as_rows(got, 20) == (as_rows(alone, 20) if small == v[20].tolist() else as_rows(got, 20)) and len(as_rows(got, 20)) == 5
+
+
 # ---------------------------------------------------------------- op4, op7: SQL
 
 
@@ -228,6 +308,18 @@ def test_sql_on_fixture(spark, tmp_path, module, query):
         assert not any("All rights reserved" in (r["text"] or "") for r in got)
 
 
+def test_op4_counts_a_text_once_and_takes_any_column(spark):
+    """Copies of one text on many sites keep their lines; a line of as many different texts goes, wherever it is."""
+    copy = "a story told once\nand its end"
+    rows = [(i, copy, f"s{i}", *"abcdef") for i in range(9)] + [(10 + i, f"own {i}\nfoot\nmore foot", f"s{i}", *"abcdef") for i in range(5)] + [(20 + i, f"mine {i}\nfew", f"s{i % 4}", *"abcdef") for i in range(8)]
+    names = ["row", "key", "gone", "t", "text_key", "line_dedup_key"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names))
+    got = {r.doc_id: r for r in line_dedup.line_dedup(df).collect()}
+    assert all(got[i].text == copy for i in range(9))
+    assert all(got[10 + i].text == f"own {i}" and got[10 + i].n_removed == 2 and got[10 + i].n_lines == 3 for i in range(5))
+    assert all(got[20 + i].text == f"mine {i}\nfew" for i in range(8)) and all(got[3][c] == x for c, x in zip(names, "abcdef", strict=True))
+
+
 # ---------------------------------------------------------------- op6
 
 
@@ -330,6 +422,31 @@ def test_op6_alignment():
         assert near_dedup.alike(a, b) == (min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and c >= 0.8 * (len(x) + len(y) - c) - 1e-9)
 
 
+def test_op6_alignment_keeps_to_its_band():
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        a, b, band = rng.integers(0, 9, rng.integers(1, 30)), rng.integers(0, 9, rng.integers(1, 30)), int(rng.integers(0, 32))
+        table_ = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                hit = a[i] == b[j] and abs(i - j) <= band
+                table_[i + 1, j + 1] = max(table_[i, j + 1], table_[i + 1, j], table_[i, j] + hit)
+        assert near_dedup._in_band(a, b, band) == table_[-1, -1]
+
+
+def test_op6_alignment_of_long_texts_is_small():
+    """Two near copies of 200,000 words, edited near both ends and between: memory grows with the band."""
+    rng = np.random.default_rng(12)
+    a = rng.integers(0, 1 << 32, 200_000, dtype=np.uint64).astype(np.uint32)
+    b = a.copy()
+    b[rng.choice(len(b), 500, replace=False)] = 1
+    b = np.delete(b, [7, len(b) - 9])
+    tracemalloc.start()
+    assert near_dedup.alike(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
 def test_op6_components(spark):
     rng = np.random.default_rng(8)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
@@ -389,6 +506,28 @@ def test_op8_tokens_of_odd_texts():
         assert fast(t) == own.encode(t, add_special_tokens=False).ids
 
 
+def test_op8_tokens_of_the_whole_table():
+    """The faster library gives the ids of the tokenizer that is asked for, on every document of sf0.01."""
+    import public_tokenizers
+    import tokenizers
+
+    own, fast = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.tokenizer()
+    texts = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").text.fillna("").tolist()
+    assert all(e.ids == fast(t) for e, t in zip(own.encode_batch(texts, add_special_tokens=False), texts, strict=True))
+
+
+def test_op8_ranges_are_of_equal_size_and_reruns_agree(spark):
+    rng = np.random.default_rng(14)
+    rows = [(i, " ".join(words(rng, 60))) for i in range(300)] + [(1000 + i, "one text of many copies, word by word") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack(docs, range_tokens=3000).toPandas()
+    again = packing.pack(docs.repartition(5), range_tokens=3000).toPandas()
+    key = ["sequence_id", "offset"]
+    assert got.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
+    by_range = got.groupby(got.sequence_id.to_numpy() >> 40).length.sum()
+    assert len(by_range) >= got.length.sum() / 3000 - 1 and by_range.max() < 3 * 3000
+
+
 def test_op8_hilbert_is_a_curve():
     at = np.array(np.meshgrid(*[np.arange(8)] * 3)).reshape(3, -1).T
     key = packing.hilbert(at, bits=3)
@@ -431,6 +570,29 @@ def test_op10_apportionment():
         assert mixing.sainte_lague(w, seats) == got
 
 
+def test_op10_apportionment_within_bounds():
+    rng = np.random.default_rng(15)
+    for _ in range(50):
+        w, most = rng.random(rng.integers(1, 8)).tolist(), rng.integers(0, 12, 8).tolist()
+        most, seats = most[: len(w)], int(rng.integers(0, 60))
+        got = mixing.apportioned(w, seats, most)
+        assert all(0 <= g <= m for g, m in zip(got, most, strict=True)) and sum(got) == min(seats, sum(most))
+
+
+def test_op10_copies_take_what_mix_says_of_equal_rows(spark):
+    rng = np.random.default_rng(16)
+    rows = [(i, " ".join(words(rng, rng.integers(1, 90))), f"s{i % 3}", "x") for i in range(90)]
+    docs = spark.createDataFrame(rows + rows[:30] + rows[:30], "doc_id long, text string, source string, taken string")
+    for options in ({"shard_docs": 7}, {"shard_docs": 1000}):
+        mixed, got = mixing.mix(docs, **options).toPandas(), mixing.copies(docs, **options).toPandas()
+        n = got.text.str.split().str.len()
+        assert n.groupby(got.doc_id).sum().to_dict() == {k: v for k, v in mixed.groupby("doc_id").taken.sum().items() if v}
+        assert (mixed.taken <= 2 * mixed["size"]).all() and set(got.taken) == {"x"}
+        assert all(t == r or r.startswith(t) for t, r in zip(got.text, got.doc_id.map({i: t for i, t, *_ in rows}), strict=True))
+        for _, part in mixed.merge(pd.DataFrame(rows, columns=["doc_id", "text", "source", "x"])[["doc_id", "source"]], on="doc_id").groupby("source"):
+            assert abs(part.taken.sum() - part.target.iat[0]) <= 64 + 0.01 * part.target.iat[0]
+
+
 # ---------------------------------------------------------------- the pipeline
 
 

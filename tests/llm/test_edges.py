@@ -69,12 +69,15 @@ def test_no_labels_teach_nothing(spark):
     assert {r.score for r in toxicity.toxicity(docs, labels(spark, "toxic", True)).collect()} == {0.5}
     unknown = language_id.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {(r.lang_pred, r.score) for r in unknown} == {("und", 0.0)}
+    assert language_id.accepted(docs.withColumn("lang", F.lit(None).cast("string"))).count() == language_id.accepted(docs).count() > 0
 
 
 def test_und(spark):
     got = {r.doc_id: r for r in language_id.language_id(documents(spark)).collect()}
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (0, 1, 2, 6))
     assert got[3].lang_pred == "en"
+    signs = spark.createDataFrame([(1, "² ½ ³", None), (2, "Ⅷ Ⅸ", None), (3, "٣ _ 4", None), (4, "² x", None), (5, "one two three", "en")], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in language_id.language_id(signs.union(signs)).collect()} == {1: "und", 2: "und", 3: "und", 4: "en", 5: "en"}
 
 
 def test_urls(spark):
