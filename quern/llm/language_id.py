@@ -1,37 +1,48 @@
 """Language ID by rank-order profiles: the n-grams of a text, most frequent first, against those of each language.
 
-Profiles are learned from a bounded sample of labelled texts of each language, counted in Arrow batches and summed by
+Profiles are learned from all labelled texts outside the held-out fold, counted in slices of Arrow batches and summed by
 Spark; they (languages times `top` n-grams) are all that is sent to the executors. Prediction is one narrow pass.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from quern.llm.shared import remainder_is, slices, table
+from quern.llm.shared import materialize, remainder_is, slices, table
 
-#: n-grams in a profile; letters in an n-gram; texts of each language that are learned from, at most (about).
-TOP, LONGEST, MAX_TEXTS, MAX_LANGS = 400, 3, 1500, 1000
+#: n-grams in a profile; letters in an n-gram; more languages are an error; n-grams that a task counts before it sums them.
+TOP, LONGEST, MAX_LANGS, HELD = 400, 3, 1000, 1 << 18
 #: A text is of no known language below this share of the score that all but this quantile of learned texts reach.
 SHARE, QUANTILE = 2 / 3, 0.01
 _OTHER = re.compile(r"[\W\d_]+")
 
 
+def _words(text: str | None) -> str:
+    """The lower-cased words between single blanks; empty if the text has no letter."""
+    words = _OTHER.sub(" ", (text or "").lower()).strip()
+    return words if any(map(str.isalpha, words)) else ""  # \w has signs besides that are no letters, as ² and Ⅷ
+
+
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of the n-grams of lower-cased words between single blanks; none if the text has no letter.
+    """Codes and counts of the n-grams of lower-cased words between single blanks; none if the text has no letter."""
+    return _grams(_words(text))
+
+
+def _grams(words: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of the n-grams of words between single blanks.
 
     A code holds up to three code points of 21 bits each, so different n-grams never share one.
     """
-    words = _OTHER.sub(" ", (text or "").lower()).strip()
-    if not any(map(str.isalpha, words)):  # \w has signs besides that are no letters, as ² and Ⅷ
+    if not words:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     c = np.frombuffer(f" {words} ".encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
     found, each = [c[c != 32]], c
@@ -81,33 +92,68 @@ class Profiles:
         return self.langs[best], float(1 - out[best] / (self.top * len(own)))
 
 
-def learn(docs: DataFrame, mod: int = 5, rest: int = 0, top: int = TOP, max_texts: int = MAX_TEXTS) -> Profiles:
-    """Profiles from doc_id, text, lang: of rows whose crc32 remainder isn't `rest`, about max_texts of each language."""
-    sample = _sample(docs, mod, rest, max_texts)
-    if sample is None:
-        return Profiles({}, top)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lang, part in pdf.groupby("lang"):
-                codes, counts = grams(" ".join(part["text"]))
-                yield pd.DataFrame({"lang": lang, "code": codes.astype(np.int64), "n": counts})
-
-    summed = sample.mapInPandas(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    best = summed.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("n"), "code"))), 1, top).alias("best"))
-    return Profiles({r.lang: [x[1] for x in r.best] for r in best.collect()}, top)
+def _learnable(mod: int = 5, rest: int = 0) -> Column:
+    """Whether a row (doc_id, text, lang) may be learned from: it has text and lang, and its crc32 remainder isn't `rest`."""
+    return F.col("lang").isNotNull() & F.col("text").isNotNull() & ~remainder_is("doc_id", mod, rest)
 
 
-def _sample(docs: DataFrame, mod: int = 5, rest: int = 0, max_texts: int = MAX_TEXTS) -> DataFrame | None:
-    """lang, text of the rows that profiles are learned from; None if there are none."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~remainder_is("doc_id", mod, rest))
-    n = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGS + 1).collect()
-    if len(n) > MAX_LANGS:
+def learn(docs: DataFrame, mod: int = 5, rest: int = 0, top: int = TOP) -> Profiles:
+    """Profiles from doc_id, text, lang: of all rows with a lang whose crc32 remainder isn't `rest`; no rows, no profiles."""
+    rows = docs.where(_learnable(mod, rest)).select("lang", "text")
+    if rows.select("lang").distinct().limit(MAX_LANGS + 1).count() > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    if not n:
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held = 0
+        for part in slices(batches, 1, size=200_000):
+            words: dict[str, list[str]] = {}
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                if own := _words(text):
+                    words.setdefault(lang, []).append(own)
+            for lang, own in words.items():
+                found.setdefault(lang, []).append(_grams(" ".join(own)))
+                held += len(found[lang][-1][0])
+            if held >= HELD:
+                yield from _summed(found)
+                found, held = {}, 0
+        yield from _summed(found)
+
+    summed = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
+    best: dict[str, list[int]] = {}
+    for r in sorted(summed.withColumn("place", place).where(F.col("place") <= top).select("lang", "place", "code").collect()):
+        best.setdefault(r.lang, []).append(r.code)
+    return Profiles(best, top)
+
+
+def _summed(found: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    """lang, code, n of each language's lists of codes and counts, each code once."""
+    for lang, parts in found.items():
+        codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        n = np.zeros(len(codes), dtype=np.int64)
+        np.add.at(n, at, np.concatenate([n for _, n in parts]))
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n)], names=["lang", "code", "n"])
+
+
+def quantile(scores: DataFrame, q: float, cells: int = 1 << 16) -> float | None:
+    """The q-quantile of all rows' score (0 to 1), between two scores as F.percentile has it; None if there is no row.
+
+    Scores are counted by cells, and those of the one or two cells that the quantile lies in once more, each distinct one:
+    the driver gets `cells` + 1 rows and these few, as scores are fractions of at most `top` different denominators.
+    """
+    cell = F.floor(F.col("score") * cells)
+    by = scores.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).orderBy("cell").collect()
+    if not by:
         return None
-    rate = F.element_at(F.create_map(*[F.lit(v) for r in n for v in (r.lang, min(1.0, max_texts / r.n))]), F.col("lang"))
-    return rows.where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) / float(1 << 30) < rate).select("lang", "text")
+    ends = np.cumsum([r.n for r in by])
+    at = q * (int(ends[-1]) - 1)
+    places = [math.floor(at), math.ceil(at)]
+    first, last = np.searchsorted(ends, places, "right").tolist()
+    near = scores.where(cell.between(by[first].cell, by[last].cell)).groupBy("score").agg(F.count("*").alias("n")).orderBy("score").collect()
+    ends = int(ends[first]) - by[first].n + np.cumsum([r.n for r in near])
+    low, high = (near[i].score for i in np.searchsorted(ends, places, "right").tolist())
+    return low if low == high else (places[1] - at) * low + (at - places[0]) * high
 
 
 def predictions(docs: DataFrame, profiles: Profiles, *carry: str) -> DataFrame:
@@ -138,18 +184,19 @@ def language_id(docs: DataFrame, mod: int = 5, rest: int = 0) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """docs without the rows that language ID rejects: und, or a score too low for any known language.
 
-    What is too low is learned: below SHARE of the QUANTILE of the scores of the texts that the profiles come from.
+    What is too low is learned: below SHARE of the QUANTILE of the scores of all texts that the profiles come from.
 
-    A corpus without any labelled row teaches no language, so that nothing tells against a text: all with a letter stay.
+    Where no labelled text has a letter, no language is learned and nothing tells against a text: all with a letter stay.
     """
-    sample = _sample(docs)
-    if sample is None:
+    profiles = learn(docs)
+    if not profiles.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    profiles, score = learn(docs), F.col("quern_lang.score")
-    least = predictions(sample, profiles, "text").where(score > 0).agg(F.percentile(score, F.lit(QUANTILE))).first()[0]
     own = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]  # no name of theirs can clash so
-    df = predictions(docs.toDF(*own), profiles, *own)
-    known = (F.col("quern_lang.lang_pred") != "und") & (F.col("quern_lang.score") > 0) & (F.col("quern_lang.score") >= SHARE * (least or 0.0))
+    df = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, own, strict=True)], _learnable().alias("learnable"))
+    df = materialize(predictions(df, profiles, *own, "learnable"), "language-scores")  # two passes read the scores
+    score = F.col("quern_lang.score")
+    least = quantile(df.where(F.col("learnable") & (score > 0)).select(score.alias("score")), QUANTILE)
+    known = (F.col("quern_lang.lang_pred") != "und") & (score > 0) & (score >= SHARE * (least or 0.0))
     return df.where(known).select(*own).toDF(*docs.columns)
 
 

@@ -102,6 +102,34 @@ def test_language_stage_drops_what_no_profile_is_near(spark, sf):
     assert kept == {r.doc_id for r in language_id.language_id(docs).where("score > 0").collect()}
 
 
+def test_language_profiles_and_threshold_come_from_all_labelled_texts(spark):
+    rng, letters = np.random.default_rng(12), np.array(list("abcdefghij" + "klmnopqrst" * 3))
+    texts = ["".join(rng.choice(letters[: 10 + int(30 * rng.random() ** 6)], 40)) for _ in range(4000)]
+    rows = [(i, t, "aa" if i % 9 else None) for i, t in enumerate(texts)] + [(None, "zzz zz", "aa"), (4000, "² ½ ³", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learnable = [t for i, t, lang in rows if lang and i is not None and zlib.crc32(str(i).encode()) % 5]
+    assert len(learnable) > 2 * 1200
+    counts = Counter()
+    for t in learnable:
+        counts.update(dict(zip(*(x.tolist() for x in language_id.grams(t)), strict=True)))
+    best = sorted(counts, key=lambda c: (-counts[c], c))[: language_id.TOP]
+    profiles = language_id.learn(docs)
+    assert profiles.langs == ["aa"] and profiles.codes[np.argsort(profiles.ranks[:-1, 0])].tolist() == best
+    score = {t: language_id.Profiles({"aa": best}).predict(t)[1] for _, t, _ in rows}
+    least = language_id.SHARE * np.percentile([score[t] for t in learnable if score[t] > 0], 100 * language_id.QUANTILE)
+    got = sorted(r.text for r in language_id.accepted(docs).collect())
+    assert got == sorted(t for _, t, _ in rows if score[t] > 0 and score[t] >= least) and len(got) < len(rows) - 1
+
+
+def test_quantile(spark):
+    rng = np.random.default_rng(13)
+    for x in (rng.random(1000), rng.integers(0, 4, 100) / 3, [0.5], np.append(np.zeros(50), 1.0)):
+        df = spark.createDataFrame([(float(v),) for v in x], "score double").repartition(3)
+        for q in (0.0, 0.01, 0.5, 0.995, 1.0):
+            assert language_id.quantile(df, q, 64) == pytest.approx(np.percentile(x, 100 * q), abs=1e-12)
+    assert language_id.quantile(df.limit(0), 0.5) is None
+
+
 def test_op5_distances(spark):
     ordered = {"aa": [5, 6, 7], "bb": [7, 6]}
     profiles = language_id.Profiles(ordered, top=10)
