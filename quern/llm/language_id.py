@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quern.llm.shared import materialize, remainder_is, slices, table
+from quern.llm.shared import lean, materialize, remainder_is, slices, table
 
 #: n-grams in a profile; letters in an n-gram; more languages are an error; n-grams that a task counts before it sums them.
 TOP, LONGEST, MAX_LANGS, HELD = 400, 3, 1000, 1 << 18
@@ -119,7 +119,7 @@ def learn(docs: DataFrame, mod: int = 5, rest: int = 0, top: int = TOP) -> Profi
                 found, held = {}, 0
         yield from _summed(found)
 
-    summed = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    summed = rows.mapInArrow(lean(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     best: dict[str, list[int]] = {}
     for r in sorted(summed.withColumn("place", place).where(F.col("place") <= top).select("lang", "place", "code").collect()):
@@ -169,7 +169,7 @@ def predictions(docs: DataFrame, profiles: Profiles, *carry: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*part.columns, pred], names=names)
 
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return df.mapInArrow(each, T.StructType([*df.schema.fields, T.StructField("quern_lang", kind)]))
+    return df.mapInArrow(lean(each), T.StructType([*df.schema.fields, T.StructField("quern_lang", kind)]))
 
 
 def language_id(docs: DataFrame, mod: int = 5, rest: int = 0) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quern.llm.shared import WORD, materialize, slices, table
+from quern.llm.shared import WORD, lean, materialize, slices, table
 
 WEIGHTS = (5, 2, 1)
 
@@ -192,7 +192,7 @@ def copies(docs: DataFrame, **options: object) -> DataFrame:
                     out[n_chars] = pc.replace_with_mask(out[n_chars], short, pa.array(list(map(len, ends)), pa.int64()).cast(out[n_chars].type))
             yield pa.RecordBatch.from_arrays(out, names=own)
 
-    return df.select(*columns, "words", "size").mapInArrow(cut, schema).toDF(*docs.columns)
+    return df.select(*columns, "words", "size").mapInArrow(lean(cut), schema).toDF(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import materialize, slices, table
+from quern.llm.shared import lean, materialize, slices, table
 
 WORDS, SIMILAR = 5, 0.8
 #: (sketches, shingles in each): for every text, and for those whose buckets one leader couldn't resolve. Texts of 0.8
@@ -170,7 +170,7 @@ def _described(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "text_key", "node", "n", "sketches", "words"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("text_key"), "text")
-    return rows.mapInArrow(each, "doc_id long, text_key binary, node binary, n long, sketches array<long>, words binary")
+    return rows.mapInArrow(lean(each), "doc_id long, text_key binary, node binary, n long, sketches array<long>, words binary")
 
 
 def _words_of(ends: DataFrame, described: DataFrame, most: int = 250_000) -> DataFrame:
@@ -195,7 +195,7 @@ def _verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
             keep = [alike(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
             yield pdf.loc[keep, ["a", "b"]]
 
-    return materialize(met.select("a", "b", "x", "y").mapInPandas(each, "a binary, b binary"), "near-links")
+    return materialize(met.select("a", "b", "x", "y").mapInPandas(lean(each), "a binary, b binary"), "near-links")
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def _shared(nodes: DataFrame) -> DataFrame:
                 h = labelled(shingles(np.frombuffer(x, np.uint32))).view(np.int64)
                 yield pd.DataFrame({"h": h, "node": [node] * len(h)})
 
-    own = nodes.mapInPandas(each, "h long, node binary").groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    own = nodes.mapInPandas(lean(each), "h long, node binary").groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
     alone = materialize(own.groupBy("node").agg(F.count("*").alias("alone")), "near-alone")
     df = nodes.join(alone, "node", "left").withColumn("n", F.greatest(F.length("words") / 4 - (WORDS - 1), F.lit(1)).cast("long"))
     df = df.select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s"), "words").where(F.col("s") >= SIMILAR * F.col("n") - 1e-6)
@@ -233,7 +233,7 @@ def _long_sketches(nodes: DataFrame) -> DataFrame:
             if keys:
                 yield pd.DataFrame({"key": np.concatenate(keys)} | {c: np.repeat(pdf[c].to_numpy(), [len(k) for k in keys]) for c in ("node", "n", "s")})
 
-    return nodes.mapInPandas(each, "key long, node binary, n long, s long")
+    return nodes.mapInPandas(lean(each), "key long, node binary, n long, s long")
 
 
 def few_keys(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +264,7 @@ def _few_links(described: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"key": np.concatenate([k for k, _ in found]).view(np.int64), "r": np.concatenate([r for _, r in found])} | {c: np.repeat(pdf[c].to_numpy(), many) for c in ("node", "n")})
 
     nodes = described.where(F.col("node").isNotNull() & F.col("n").between(4, FEW)).groupBy("node").agg(F.first("n").alias("n"), F.first("words").alias("words"))
-    rows = materialize(nodes.mapInPandas(each, "key long, r long, node binary, n long"), "near-few")
+    rows = materialize(nodes.mapInPandas(lean(each), "key long, r long, node binary, n long"), "near-few")
     first = rows.groupBy("key", "r").agg(F.min(F.struct("n", "node")).alias("l"), F.count("*").alias("size")).where("size > 1").select("key", "r", "l")
     met = rows.join(first, ["key", "r"]).where((F.col("node") != F.col("l.node")) & (F.col("r") >= SIMILAR * (F.col("n") + F.col("l.n") - F.col("r")) - 1e-9))
     return met.select(F.col("l.node").alias("a"), F.col("node").alias("b"))
@@ -331,7 +331,7 @@ def _parities(nodes: DataFrame) -> DataFrame:
             p = np.packbits(np.array(bits, dtype=np.uint8).reshape(-1, 1024), axis=1).view(np.int64)
             yield pd.DataFrame({"node": pdf["node"]} | {f"p{k}": p[:, k] for k in range(16)})
 
-    return nodes.select("node", "words").mapInPandas(each, "node binary, " + ", ".join(f"p{k} long" for k in range(16)))
+    return nodes.select("node", "words").mapInPandas(lean(each), "node binary, " + ", ".join(f"p{k} long" for k in range(16)))
 
 
 def _with_leaders(mixed: DataFrame) -> DataFrame:

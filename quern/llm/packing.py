@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import materialize, slices, table
+from quern.llm.shared import lean, materialize, slices, table
 
 #: Ids of a range (two bytes each); bits of a cell of the curve.
 RANGE_TOKENS, CELL_BITS = 8_000_000, 16
@@ -93,7 +93,7 @@ def tokenized(docs: DataFrame, ranks: str | None = None, seed: int = 0) -> DataF
             at = np.minimum(np.array([curve.point(x) for x in ids]).astype(np.int64), (1 << BITS) - 1)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hilbert(at)), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "key", "tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, key long, tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(each), "doc_id long, key long, tokens long, ids binary")
 
 
 class _Sequences:
@@ -186,7 +186,7 @@ def pack(docs: DataFrame, max_tokens: int = 2048, ranks: str | None = None, seed
             out.finish()
             yield out.take()
 
-    return _ranged(tokens, range_tokens).mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return _ranged(tokens, range_tokens).mapInArrow(lean(cut), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,27 @@ def slices(batches: Iterator[pa.RecordBatch], text: int = 0, rows: int = 500, si
             a = b
 
 
+def lean(each: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """each, over Arrow batches or pandas frames, with what it has freed given back to the system at its end.
+
+    Workers are used again, and would keep it beside the JVM while other stages run. An empty last batch makes the reader
+    let go of the one before.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        out = None
+        for out in each(batches):
+            yield out
+        if out is not None:
+            out = pa.RecordBatch.from_arrays([pa.array([], f.type) for f in out.schema], schema=out.schema) if isinstance(out, pa.RecordBatch) else out.iloc[:0].copy()
+            yield out
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # glibc alone has it
+            libc.malloc_trim(0)
+
+    return run
+
+
 def remainder_is(doc_id: str, mod: int, rest: int) -> Column:
     """True where crc32(doc_id as text) mod `mod` is `rest`, and for a null doc_id: such rows are never learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod == rest, F.lit(True))

@@ -8,13 +8,14 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 
 import __spark_entry__
 import corpus_pipeline
 from quern.llm import language_id, line_dedup, mixing, near_dedup, neighbours, packing, quality_classifier, quality_rules, toxicity, url_filters
-from quern.llm.shared import table
+from quern.llm.shared import lean, table
 
 
 def words(rng, n, vocabulary=400):
@@ -624,6 +625,28 @@ def test_op10_copies_take_what_mix_says_of_equal_rows(spark):
 # ---------------------------------------------------------------- the pipeline
 
 
+def test_lean_gives_memory_back():
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    def each(batches):
+        for batch in batches:
+            held = [b"%9d" % i * 110 for i in range(100_000)]
+            pins.append(held[-1])  # the heap's top stays in use
+            del held
+            yield batch
+
+    pins, batch = [], pa.record_batch({"x": pa.array([1, 2, None]), "y": pa.array(["a", None, ""])})
+    assert pa.Table.from_batches(each([batch, batch])).to_pylist() == batch.to_pylist() * 2
+    before = resident()
+    assert pa.Table.from_batches(lean(each)([batch, batch])).to_pylist() == batch.to_pylist() * 2
+    assert resident() < before - 50
+    assert [b.num_rows for b in lean(each)([batch])] == [3, 0]
+    frame = batch.to_pandas()
+    assert pd.concat(lean(each)([frame])).equals(frame) and list(lean(each)([])) == []
+
+
 def test_pipeline_stages(spark, sf):
     docs = table(spark, sf, "documents")
     before = docs.toPandas()
