@@ -9,7 +9,7 @@ from quern.llm.line_dedup import line_dedup
 from quern.llm.mixing import copies
 from quern.llm.near_dedup import one_of_each
 from quern.llm.packing import pack
-from quern.llm.shared import materialize, table
+from quern.llm.shared import collect, materialize, release, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again as the next one's docs."""
+    """All stages over documents, each written and read again as the next one's docs, and deleted when that is written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        read, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if i:
+            release(read)
+        collect(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

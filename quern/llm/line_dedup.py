@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import materialize, table
+from quern.llm.shared import materialize, release, table
 
 MIN_SITES, LG_K = 5, 12
 
@@ -51,6 +51,7 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = True)
     flagged = materialize(boilerplate(lines, min_sites), "line-flags")
     gone = lines.join(flagged, "line", "left_semi").groupBy("text_key").agg(F.collect_set("pos").alias("gone"))
     gone = materialize(gone, "line-gone").alias("g")
+    release(lines, flagged)
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("text").alias("t"), F.unhex(F.md5("text")).alias("key")).alias("d")
     df = df.join(gone, F.col("d.key") == F.col("g.text_key"), "left").select("row", "t", "gone")
     left = F.expr(r"array_join(filter(split(t, '\n'), (x, i) -> NOT array_contains(gone, i)), '\n')")

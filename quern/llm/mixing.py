@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quern.llm.shared import WORD, lean, materialize, slices, table
+from quern.llm.shared import WORD, lean, materialize, release, slices, table
 
 WEIGHTS = (5, 2, 1)
 
@@ -166,7 +166,9 @@ def copies(docs: DataFrame, **options: object) -> DataFrame:
     import re
 
     o = OPTIONS | options
-    plan = _plan(materialize(_sized(docs, o["seed"]), "mix-sizes"), *(o[k] for k in ("weights", "share", "most", "block", "shard_docs", "max_shards", "max_sources")))
+    counted = materialize(_sized(docs, o["seed"]), "mix-sizes")
+    plan = _plan(counted, *(o[k] for k in ("weights", "share", "most", "block", "shard_docs", "max_shards", "max_sources")))
+    release(counted)  # the plan came through the driver
     sized = _sized(docs, o["seed"], F.col("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     df = _taken(sized, *plan, o["seed"], o["block"], "doc_id", "size").where("taken > 0").select("row", "size", "taken")
     df = df.withColumn("words", F.explode(F.expr("transform(sequence(1, cast(ceil(taken / size) AS int)), i -> least(size, taken - (i - 1) * size))")))

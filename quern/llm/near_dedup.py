@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import lean, materialize, slices, table
+from quern.llm.shared import lean, materialize, release, slices, table
 
 WORDS, SIMILAR = 5, 0.8
 #: (sketches, shingles in each): for every text, and for those whose buckets one leader couldn't resolve. Texts of 0.8
@@ -33,6 +33,8 @@ SHORT, MIDDLE, LONG = (16, 4), (96, 6), (96, 10)
 MIDDLE_BELOW, LONG_FROM = 25, 20
 #: Texts of so many shingles at most are linked to each other exactly.
 FEW = 12
+#: So many keys of 16 bytes (so 4 MB), or of 24, are sent to where the texts are, which then needn't be shuffled; more are joined.
+SENT = 250_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(6).integers(1, 1 << 63, 128).astype(np.uint64)
 
@@ -173,15 +175,17 @@ def _described(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(lean(each), "doc_id long, text_key binary, node binary, n long, sketches array<long>, words binary")
 
 
-def _words_of(ends: DataFrame, described: DataFrame, most: int = 250_000) -> DataFrame:
-    """node, words of the nodes in ends, written.
+def _sent(keys: DataFrame, most: int) -> DataFrame:
+    """keys, a written table, to be broadcast if it has `most` rows at most."""
+    return F.broadcast(keys) if keys.count() <= most else keys
 
-    Up to `most` nodes (16 bytes each, so 4 MB) are sent to where the words are, which then needn't be shuffled; more are
-    joined.
-    """
+
+def _words_of(ends: DataFrame, described: DataFrame, most: int = SENT) -> DataFrame:
+    """node, words of the nodes in ends, written. Up to `most` nodes are sent to where the words are."""
     ends = materialize(ends.distinct(), "near-ends")
-    few = ends.count() <= most
-    return materialize(described.join(F.broadcast(ends) if few else ends, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), "near-words")
+    words = materialize(described.join(_sent(ends, most), "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), "near-words")
+    release(ends)
+    return words
 
 
 def _verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
@@ -195,7 +199,9 @@ def _verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
             keep = [alike(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
             yield pdf.loc[keep, ["a", "b"]]
 
-    return materialize(met.select("a", "b", "x", "y").mapInPandas(lean(each), "a binary, b binary"), "near-links")
+    links = materialize(met.select("a", "b", "x", "y").mapInPandas(lean(each), "a binary, b binary"), "near-links")
+    release(pairs, words)
+    return links
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
@@ -306,7 +312,9 @@ def _mixed(rows: DataFrame) -> DataFrame:
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("size"), F.max("n").alias("longest"), F.min(F.struct(F.expr("n - s").alias("alone"), F.xxhash64("node", "key"), "node", "n", "s")).alias("l"))
     by = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component", "l")).alias("m"), F.max("longest").alias("longest")).where((F.col("parts") > 1) & (F.col("longest") > FEW))
     by = materialize(by.selectExpr("key", "m.component AS main", "m.l.node AS leader", "m.l.n AS leader_n", "m.l.s AS leader_s"), "near-leaders")
-    return materialize(rows.join(by, "key"), "near-mixed")
+    mixed = materialize(rows.join(by, "key"), "near-mixed")
+    release(by)
+    return mixed
 
 
 def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -352,10 +360,16 @@ def _classes(described: DataFrame) -> DataFrame:
     nodes = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = materialize(nodes.select(F.explode("sketches").alias("key"), "node", "n", F.col("n").alias("s"), "component"), "near-sketches")
     mixed = _mixed(rows)
+    release(rows)
     links = _verified(_with_leaders(mixed), described)
     labels = components(links, labels)
-    words = _shared(_words_of(_mixed(_relabelled(mixed, labels)).select("node"), described))
-    mixed = _mixed(_relabelled(materialize(_long_sketches(words), "near-long-sketches"), labels))
+    left = _mixed(_relabelled(mixed, labels))
+    found = _words_of(left.select("node"), described)
+    words = _shared(found)
+    release(mixed, left, found)
+    rows = materialize(_long_sketches(words), "near-long-sketches")
+    mixed = _mixed(_relabelled(rows, labels))
+    release(rows)
     links = _verified(_with_leaders(mixed), words)
     labels = components(links, labels)
     rest = _mixed(_relabelled(mixed, labels))
@@ -374,6 +388,7 @@ def _resolved(docs: DataFrame) -> DataFrame:
     labels = _classes(described.select("node", "n", "sketches", "words"))
     rows = described.select("doc_id", "text_key", "node").join(labels, "node", "left").withColumn("own", F.coalesce("component", "node"))
     rows = materialize(rows.select("doc_id", "text_key", "own"), "near-rows")
+    release(described)  # the largest table
     least = rows.where("own is not null").groupBy("own").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size")).where("size > 1")
     least = materialize(least.withColumnRenamed("own", "o"), "near-classes")
     return rows.join(least, F.col("own") == F.col("o"), "left").select("doc_id", "text_key", F.when(F.col("o").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
@@ -389,14 +404,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _resolved(docs).select("doc_id", "class_id", F.col("class_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, one for each class: equal rows of one doc_id are made one too."""
+def one_of_each(docs: DataFrame, most: int = SENT) -> DataFrame:
+    """The rows of docs that near_duplicates keeps, one for each class: equal rows of one doc_id are made one too.
+
+    The ids of up to `most` rows that go are sent to where the texts are.
+    """
     rows = materialize(_resolved(docs.select("doc_id", "text")), "near-resolved")
     key = F.unhex(F.md5("text"))
     gone = materialize(rows.where(~F.col("class_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "near-gone")
-    df = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & key.eqNullSafe(F.col("gone_key")), "left_anti")
+    df = docs.join(_sent(gone, most), F.col("doc_id").eqNullSafe(F.col("gone_id")) & key.eqNullSafe(F.col("gone_key")), "left_anti")
     again = rows.where(F.col("class_id").eqNullSafe(F.col("doc_id")) & F.col("text_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id", "text_key").count().where("count > 1")
-    return df if again.isEmpty() else df.dropDuplicates(["doc_id", "text"])
+    once = again.isEmpty()
+    release(rows)
+    return df if once else df.dropDuplicates(["doc_id", "text"])
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.storage import materialize  # noqa: F401  the operators take it from here
+from quern.storage import collect, materialize, release  # noqa: F401  the operators take them from here
 
 #: Words are runs of anything but ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"

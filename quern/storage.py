@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting by which the shuffle files of a query go as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: By folder, each written table that may still be read: its context, and a weak reference to the JVM's list of its files.
+_WRITTEN: dict[str, tuple[object, object]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, or the context's. Where neither is set, a session in one process (tests) gets a
@@ -21,15 +29,62 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextmanager
+def _cleanup(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes the written tables that no plan reads any more, as far as the JVM has collected their plans."""
+    for path, (context, files) in list(_WRITTEN.items()):
+        if context is not spark.sparkContext:  # an ended session's, which went with it
+            _WRITTEN.pop(path, None)
+        elif files.refersTo(None) and _WRITTEN.pop(path, None):
+            _delete(spark, path)
+
+
+def collect(spark: SparkSession) -> None:
+    """sweep, with the plans that nothing holds collected first."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    sweep(spark)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that materialize gave and that nothing reads any more, without waiting for the JVM."""
+    for df in tables:
+        _WRITTEN.pop(df.written_at, None)
+        _delete(df.sparkSession, df.written_at)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read again.
 
     It cuts lineage (a lost executor costs a re-read, not a recomputation), gives Catalyst real sizes to choose joins
-    by, and lets several consumers share one pass over the input. Files go when the session's JVM ends.
+    by, and lets several consumers share one pass over the input. The shuffle files of the write go as it ends. The table
+    goes by release, or before a later table is written once no DataFrame, plan or cache reads it (an RDD made of one does
+    not count), or when the session's JVM ends.
     """
     spark = df.sparkSession
+    sweep(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _cleanup(spark):
+        df.write.parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    plan = out._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation":  # all plans over it share this list of files
+        _WRITTEN[path] = (spark.sparkContext, spark.sparkContext._jvm.java.lang.ref.WeakReference(plan.relation().location()))
+    return out

@@ -1,6 +1,7 @@
 """The operators against brute force, round trips and held-out accuracy."""
 
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -666,6 +667,42 @@ def test_pipeline_stages(spark, sf):
     assert all(got[i] == taken[i] for i in taken.index)
 
 
+def test_near_dedup_stage_sends_ids_not_texts(spark):
+    docs = spark.createDataFrame(list(near_texts().items()) + [(1000, None), (7, "a b c"), (7, "a b c")], "doc_id long, text string")
+    sent, joined = near_dedup.one_of_each(docs), near_dedup.one_of_each(docs, most=0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = near_dedup.one_of_each(docs.where("doc_id < 1000").dropDuplicates(["doc_id"]))._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, sent.collect())) == sorted(map(str, joined.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_pipeline_stages_leave_little_behind(spark, sf):
+    """Of what the stages write for themselves, only what the result reads is there in the end."""
+    import gc
+    import glob
+    import os
+
+    from quern.storage import collect, shared_dir
+
+    def mine():
+        gc.collect()
+        time.sleep(0.3)
+        collect(spark)
+        return set(glob.glob(shared_dir(spark).removeprefix("file://") + "/*"))
+
+    mine()
+    before = mine()
+    got = corpus_pipeline.run(spark, sf)
+    n = got.count()
+    left = {re.sub("-[0-9a-f]{32}$", "", os.path.basename(p)) for p in mine() - before}
+    assert {"packing-tokens"} <= left <= {"packing-tokens", "stage-mixing-sources-to-target-weights"}
+    assert got.count() == n
+
+
 def test_pipeline_runs(spark, sf):
     got = corpus_pipeline.run(spark, sf).toPandas()
     assert len(got) and got.groupby("sequence_id").length.sum().max() <= 2048

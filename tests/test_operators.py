@@ -1,5 +1,9 @@
 """Edge cases of sources, functions, joins, search, octree and key/value jobs."""
 
+import gc
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +15,7 @@ from quern.operators.scans import numbered, running_total
 from quern.sources.binary import read_binary, write_binary
 from quern.sources.generators import histogram, points, unique_keys, zipf_words
 from quern.sources.text import list_files, read_lines, read_pairs, read_records, write_text
-from quern.storage import shared_dir
+from quern.storage import materialize, release, shared_dir, sweep
 from quern.streaming import word_counts
 
 
@@ -193,6 +197,48 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark):
         shared_dir(Fake)
 
 
+def test_written_tables_go_when_nothing_reads_them(spark):
+    def collected():
+        for _ in range(3):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
+        sweep(spark)
+
+    one, two = (materialize(spark.range(100).selectExpr("id", f"id % {k} AS k"), "test") for k in (3, 7))
+    paths = [x.written_at.removeprefix("file:").replace("//", "/") for x in (one, two)]
+    joined = one.groupBy("k").count().join(two.groupBy("k").count().withColumnRenamed("count", "n"), "k")  # reads both
+    two.createOrReplaceTempView("two_is_read")
+    del one, two
+    collected()
+    assert all(map(os.path.isdir, paths)) and joined.count() == 3
+    del joined
+    collected()
+    assert list(map(os.path.isdir, paths)) == [False, True]
+    assert spark.table("two_is_read").count() == 100
+    spark.catalog.dropTempView("two_is_read")
+    collected()
+    assert not os.path.isdir(paths[1])
+    release(three := materialize(spark.range(5), "test"))
+    assert not os.path.isdir(three.written_at.removeprefix("file:").replace("//", "/"))
+
+
+def test_shuffle_files_of_a_written_table_go(spark):
+    def shuffles():
+        sc = spark.sparkContext
+        return set(sc._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().keySet().mkString(",").split(","))
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    set_before, before = spark.conf.get(setting), shuffles()
+    out = materialize(spark.range(1000).selectExpr("id % 10 AS k").groupBy("k").count(), "test")
+    for _ in range(50):
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before
+    assert out.count() == 10 and spark.conf.get(setting) == set_before
+
+
 def test_streamed_counts(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a").write_text("x y x\n")
