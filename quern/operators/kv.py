@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quern.operators.aggregates import combine
 from quern.operators.joins import union_all
@@ -19,21 +20,37 @@ from quern.sources.text import read_lines, write_text
 Rows = Iterable[tuple]
 
 
-def _batches(rows: Iterator[tuple], names: list[str], size: int = 10_000) -> Iterator[pd.DataFrame]:
+_INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def _batches(rows: Iterator[tuple], names: list[str], size: int = 10_000, whole: tuple[str, ...] = ()) -> Iterator[pd.DataFrame]:
+    """Frames of rows; nulls in the columns of whole leave other rows' integers exact."""
     held: list[tuple] = []
+
+    def frame() -> pd.DataFrame:
+        pdf = pd.DataFrame(held, columns=names)
+        rounded = [c for c in whole if pdf[c].dtype.kind == "f"]
+        return pdf.assign(**{c: pd.Series([r[names.index(c)] for r in held], dtype=object) for c in rounded})
+
     for r in rows:
         held.append(r)
         if len(held) >= size:
-            yield pd.DataFrame(held, columns=names)
+            yield frame()
             held = []
     if held:
-        yield pd.DataFrame(held, columns=names)
+        yield frame()
 
 
 def _names(schema: str) -> list[str]:
     return [f.split()[0] for f in schema.split(",")]
 
 
+def _whole(schema: str) -> tuple[str, ...]:
+    """The integer columns of a schema."""
+    kinds = {f.split()[0]: f.split()[1].lower() for f in schema.split(",") if len(f.split()) > 1}
+    return tuple(c for c, kind in kinds.items() if kind in (*_INTEGERS, "byte", "short", "integer", "long"))
+
+
 class Database(Protocol):
     """Where a user keeps records."""
 
@@ -131,14 +148,51 @@ class KVDataset:
         """Records of fn(key, values) for each key; values can be passed over as often as wanted.
 
         A key's values are held in one task for that: for keys of unbounded size use column aggregates, or combine.
+        Rows come to Python sorted by key, many keys in a batch, with each key's first row marked in the JVM. A null
+        number is NaN, and a key's integers are floats beside it, as in pandas.
         """
         own, names = list(self.keys), _names(schema)
         values = [c for c in self.df.columns if c not in own]
+        kinds = dict(self.df.dtypes)
+        whole = {c for c, kind in kinds.items() if kind in _INTEGERS}
+        numbers = [j for j, c in enumerate(values) if c in whole]
+
+        def tuples(pdf: pd.DataFrame, columns: list[str]) -> list[tuple]:
+            """Rows of columns; null integers are None, so that those of other keys stay exact."""
+            null = {c: pdf[f"quern_null_{c}"] for c in columns if c in whole}
+            pdf = pdf[columns].assign(**{c: pdf[c].astype(object).mask(n, None) for c, n in null.items() if n.any()})
+            return list(pdf.itertuples(index=False, name=None))
+
+        def given(held: list[tuple]) -> list[tuple]:
+            floats = {j for j in numbers if any(r[j] is None for r in held)}
+            if not floats:
+                return held
+            return [tuple((float("nan") if v is None else float(v)) if j in floats else v for j, v in enumerate(r)) for r in held]
+
+        def records(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+            key: tuple | None = None
+            held: list[tuple] = []
+            for pdf in batches:
+                rows = tuples(pdf, values)
+                starts = pdf["quern_first"].to_numpy().nonzero()[0].tolist()
+                heads = tuples(pdf.iloc[starts], own) if own else [()] * len(starts)
+                held += rows[: starts[0] if starts else len(rows)]
+                for head, a, b in zip(heads, starts, [*starts[1:], len(rows)]):
+                    if key is not None:
+                        yield from fn(key, given(held))
+                    key, held = tuple(float("nan") if v is None and c in whole else v for c, v in zip(own, head)), rows[a:b]
+            if key is not None:
+                yield from fn(key, given(held))
 
-        def each(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame(list(fn(key, list(pdf[values].itertuples(index=False, name=None)))), columns=names)
-
-        return KVDataset(self.df.groupBy(*own).applyInPandas(each, schema), keys)
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            yield from _batches(records(batches), names, whole=_whole(schema))
+
+        columns = {c: F.col(f"`{c}`") for c in own + values}
+        by = [columns[c] for c in own]
+        sent = [F.coalesce(x, F.lit(0).cast(kinds[c])).alias(c) if c in whole else x for c, x in columns.items()]
+        null = [columns[c].isNull().alias(f"quern_null_{c}") for c in whole]
+        first = (F.row_number().over(Window.partitionBy(*by).orderBy(*(by or [F.lit(0)]))) == 1).alias("quern_first")
+        return KVDataset(self.df.select(*columns.values(), first).select(*sent, *null, "quern_first").mapInPandas(each, schema), keys)
 
     def union(self, *others: KVDataset) -> KVDataset:
         return KVDataset(union_all(self.df, *(o.df for o in others)), self.keys)

@@ -98,6 +98,28 @@ def test_key_value_jobs(spark):
     assert only.count() == 20
 
 
+def test_reducer_of_many_keys(spark):
+    """Batches of many keys, keys of many batches, and nulls, which leave other keys' integers exact."""
+    most = 2**60 + 1
+    rows = [(most + k, i) for k in range(300) for i in range(k % 3 + 1)] + [(-1, i) for i in range(25_000)] + [(None, 5), (None, None), (7, None), (7, 2)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(3)
+    seen = spark.sparkContext.accumulator(0)
+
+    def reduced(key, values):
+        seen.add(1)
+        floats = any(isinstance(v, float) for v, in values)
+        yield key[0], len(values), sum(v for v, in values if v == v), floats
+
+    got = sorted(map(tuple, KVDataset(df, ("k",)).reduce(reduced, "k long, n long, total long, floats boolean").df.collect()), key=str)
+    want = [(most + k, k % 3 + 1, sum(range(k % 3 + 1)), False) for k in range(300)] + [(-1, 25_000, sum(range(25_000)), False), (None, 2, 5, True), (7, 2, 2, True)]
+    assert got == sorted(want, key=str) and seen.value == 303
+    keys = spark.createDataFrame([(float("nan"), "a"), (float("nan"), "b"), (None, "c"), (1.0, "d")], "k double, v string")
+    assert sorted(r.n for r in KVDataset(keys, ("k",)).reduce(lambda k, vs: [(len(vs),)], "n long").df.collect()) == [1, 1, 2]
+    assert [r.n for r in KVDataset(keys).reduce(lambda k, vs: [(len(vs),)], "n long").df.collect()] == [4]
+    plan = KVDataset(df, ("k",)).reduce(reduced, "k long, n long, total long, floats boolean").df._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan  # which makes a frame for each key
+
+
 def test_generators(spark):
     keys = unique_keys(spark, 500, seed=3)
     assert keys.select("word").distinct().count() == 500 and keys.agg(F.max("idx")).first()[0] == 499
