@@ -17,8 +17,10 @@ def edges_of(pairs: DataFrame, source: str = "key", target: str = "value", n: in
     return df
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    """v, deg: how many edges leave each vertex that any leaves."""
+def degrees(edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """v, deg: how many edges leave each vertex that any leaves; counted in parts, or in as many as the session has."""
+    if parts:
+        edges = edges.select("src").repartition(parts, "src")
     return edges.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("deg"))
 
 

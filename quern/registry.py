@@ -17,7 +17,7 @@ from quern.plans.workloads import word_count, word_count_combined, words
 from quern.sources.binary import packed, read_binary, unpacked, write_binary
 from quern.sources.generators import histogram, point_lines, points, shuffled, unique_keys, word_stats, zipf_ranks, zipf_weights, zipf_words
 from quern.sources.text import formatted, read_lines, read_pairs, read_points, write_text
-from quern.storage import materialize, shared_dir
+from quern.storage import materialize, parts_for, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -191,8 +191,14 @@ t AS (SELECT b.v, coalesce(p.parent, b.v) AS parent, b.lvl AS level FROM b LEFT
   (SELECT e.d, c.lvl, min(e.s) AS parent FROM ed e JOIN b u ON u.v = e.s JOIN b c ON c.v = e.d AND u.lvl = c.lvl - 1 GROUP BY e.d, c.lvl) p ON p.d = b.v) """
 
 
+def _parts(spark, d):
+    return parts_for(spark, _t(spark, d, "lineitem").count())
+
+
 def _graph(spark, d):
-    one = _t(spark, d, "lineitem").selectExpr("l_orderkey * 2 AS src", "l_partkey * 2 + 1 AS dst").distinct()
+    """Rows are dealt out before they are made distinct: few are equal, and maps of them would grow with a task's input."""
+    rows = _t(spark, d, "lineitem").selectExpr("l_orderkey * 2 AS src", "l_partkey * 2 + 1 AS dst")
+    one = rows.repartition(_parts(spark, d), "src", "dst").distinct()
     return one.union(one.selectExpr("dst AS src", "src AS dst"))
 
 
@@ -203,7 +209,7 @@ def _tree(spark, d):
 
 @query(f"WITH {_BOTH} SELECT s AS v, count(*) AS deg FROM ed GROUP BY s")
 def degree(spark, d):
-    return graph.degrees(_graph(spark, d))
+    return graph.degrees(_graph(spark, d), _parts(spark, d))
 
 
 @query(f"WITH {_BOTH}, r AS (SELECT s AS v, count(*) AS n, string_agg(d, ' ' ORDER BY d) AS targets FROM ed GROUP BY s) SELECT v, (sum(n) OVER (ORDER BY v) - n)::BIGINT AS start, targets FROM r")

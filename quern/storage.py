@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,6 +40,11 @@ def _cleanup(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
 
 
+def parts_for(spark: SparkSession, rows: int, each: int = 500_000) -> int:
+    """How many partitions to deal rows out to: each rows of them in one, or the session's number of partitions if that is more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / each))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

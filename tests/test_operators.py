@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from quern import registry
 from quern.functions import octree as cells
 from quern.functions.text import parse_integer, tokens
 from quern.operators import graph, joins, skew
@@ -15,7 +16,7 @@ from quern.operators.scans import numbered, running_total
 from quern.sources.binary import read_binary, write_binary
 from quern.sources.generators import histogram, points, unique_keys, zipf_words
 from quern.sources.text import list_files, read_lines, read_pairs, read_records, write_text
-from quern.storage import materialize, release, shared_dir, sweep
+from quern.storage import materialize, parts_for, release, shared_dir, sweep
 from quern.streaming import word_counts
 
 
@@ -142,6 +143,16 @@ def test_search_of_a_long_chain(spark):
         graph.random_root(edges.limit(0))
 
 
+def test_degrees_are_counted_in_parts_that_rows_call_for(spark, sf, monkeypatch):
+    """Neither the pairs nor the vertices of a task grow with the table."""
+    assert parts_for(spark, 0) == 4 and parts_for(spark, 5_000_001) == 11
+    rows = []
+    monkeypatch.setattr(registry, "parts_for", lambda spark, n: rows.append(n) or 7)
+    plan = registry.QUERIES["degree"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(dealt) >= 2 and all(", 7), REPARTITION_BY_NUM" in line for line in dealt) and set(rows) == {spark.read.parquet(f"{sf}/lineitem.parquet").count()}
+
+
 def test_records_of_a_boundary_of_the_users(spark, tmp_path):
     """Records of five bytes, whatever they are, across chunks; and files that Spark's readers pass over."""
     (tmp_path / "a").write_bytes(b"ab\nde" * 1000)
