@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.scans import running_total
-from quern.storage import materialize
+from quern.storage import SPLIT, materialize, small_tasks
 
 
 def edges_of(pairs: DataFrame, source: str = "key", target: str = "value", n: int | None = None) -> DataFrame:
@@ -17,6 +17,14 @@ def edges_of(pairs: DataFrame, source: str = "key", target: str = "value", n: in
     return df
 
 
+def written(edges: DataFrame) -> DataFrame:
+    """src, dst of edges as a table to search in; one that was written already is taken as it is."""
+    if getattr(edges, "written_at", None) and edges.columns == ["src", "dst"]:
+        return edges
+    with small_tasks(edges.sparkSession):
+        return materialize(edges.select("src", "dst"), "edges", SPLIT)
+
+
 def degrees(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """v, deg: how many edges leave each vertex that any leaves; counted in parts, or in as many as the session has."""
     if parts:
@@ -49,24 +57,26 @@ def search(edges: DataFrame, root: int, max_level: int | None = None, seed: int
 
     A root below 0 stands for a random one (by seed) that edges leave.
     A round is one join of the frontier with the edges, one partial aggregation and one anti-join with what is reached;
-    its result is written, so that plans stay short. Only the count of new vertices reaches the driver.
+    its result is written, so that plans stay short. Only the count of new vertices reaches the driver. What a task
+    reads has a bound, whatever the number of edges, and so has what it holds.
     """
     spark = edges.sparkSession
-    edges = materialize(edges.select("src", "dst"), "edges")
+    edges = written(edges)
     root = random_root(edges, seed) if root < 0 else root
-    frontier = spark.range(1).select(F.lit(root).cast("long").alias("v"), F.lit(root).cast("long").alias("parent"), F.lit(0).alias("level"))
-    tree, level = materialize(frontier, "level"), 0
-    frontier = tree
-    while max_level is None or level < max_level:
-        level += 1
-        found = edges.join(frontier.select("v"), F.col("src") == F.col("v")).groupBy("dst").agg(F.min("src").alias("parent"))
-        new = found.join(tree.select("v"), F.col("dst") == F.col("v"), "left_anti").select(F.col("dst").alias("v"), "parent", F.lit(level).alias("level"))
-        frontier = materialize(new, "level")
-        if frontier.isEmpty():
-            break
-        tree = tree.unionByName(frontier)
-        if level % 16 == 0:
-            tree = materialize(tree, "tree")
+    with small_tasks(spark, edges.count()):
+        frontier = spark.range(1).select(F.lit(root).cast("long").alias("v"), F.lit(root).cast("long").alias("parent"), F.lit(0).alias("level"))
+        tree, level = materialize(frontier, "level"), 0
+        frontier = tree
+        while max_level is None or level < max_level:
+            level += 1
+            found = edges.join(frontier.select("v"), F.col("src") == F.col("v")).groupBy("dst").agg(F.min("src").alias("parent"))
+            new = found.join(tree.select("v"), F.col("dst") == F.col("v"), "left_anti").select(F.col("dst").alias("v"), "parent", F.lit(level).alias("level"))
+            frontier = materialize(new, "level")
+            if frontier.isEmpty():
+                break
+            tree = tree.unionByName(frontier)
+            if level % 16 == 0:
+                tree = materialize(tree, "tree")
     return tree
 
 

@@ -17,7 +17,7 @@ from quern.plans.workloads import word_count, word_count_combined, words
 from quern.sources.binary import packed, read_binary, unpacked, write_binary
 from quern.sources.generators import histogram, point_lines, points, shuffled, unique_keys, word_stats, zipf_ranks, zipf_weights, zipf_words
 from quern.sources.text import formatted, read_lines, read_pairs, read_points, write_text
-from quern.storage import materialize, parts_for, shared_dir
+from quern.storage import parts_for, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -203,7 +203,7 @@ def _graph(spark, d):
 
 
 def _tree(spark, d):
-    edges = materialize(_graph(spark, d), "graph")
+    edges = graph.written(_graph(spark, d))
     return edges, graph.search(edges, edges.agg(F.min("src")).first()[0])
 
 
@@ -252,8 +252,8 @@ def bfs_frontier_counts(spark, d):
 @query(f"WITH {_BOTH} SELECT count(DISTINCT s) AS vertices, 1 AS level_0 FROM ed")
 def bfs_random_root(spark, d):
     """A search from a seeded random root, over the graph and a vertex that is joined to all, so that all is reached."""
-    edges = _graph(spark, d)
-    hub = edges.select(F.lit(-2).cast("long").alias("src"), F.col("src").alias("dst")).distinct()
+    edges = graph.written(_graph(spark, d))
+    hub = edges.select(F.lit(-2).cast("long").alias("src"), F.col("src").alias("dst")).repartition(_parts(spark, d), "dst").distinct()
     tree = graph.search(edges.union(hub).union(hub.selectExpr("dst AS src", "src AS dst")), -1, seed=3)
     return tree.agg(F.sum((F.col("v") >= 0).cast("long")).alias("vertices"), F.sum((F.col("level") == 0).cast("int")).alias("level_0"))
 

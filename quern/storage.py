@@ -11,6 +11,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes that a task reads within small_tasks.
+SPLIT = 16 << 20
 #: Spark's setting by which the shuffle files of a query go as it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: By folder, each written table that may still be read: its context, and a weak reference to the JVM's list of its files.
@@ -31,13 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _cleanup(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _settings(spark: SparkSession, **settings: str) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def parts_for(spark: SparkSession, rows: int, each: int = 500_000) -> int:
@@ -45,6 +49,19 @@ def parts_for(spark: SparkSession, rows: int, each: int = 500_000) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / each))
 
 
+@contextmanager
+def small_tasks(spark: SparkSession, rows: int = 0) -> Iterator[None]:
+    """Within it, what a task of a query reads has a bound that doesn't grow with the input: one of rows' partitions, merged
+    up to SPLIT bytes at most, or SPLIT bytes of files. Queries must end within it."""
+    with _settings(spark, **{
+        "spark.sql.shuffle.partitions": str(parts_for(spark, rows)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(SPLIT),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * SPLIT),
+        "spark.sql.files.maxPartitionBytes": str(SPLIT),
+    }):
+        yield
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -73,19 +90,19 @@ def release(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df.written_at)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, block: int | None = None) -> DataFrame:
     """df written once as Parquet in the shared folder and read again.
 
     It cuts lineage (a lost executor costs a re-read, not a recomputation), gives Catalyst real sizes to choose joins
     by, and lets several consumers share one pass over the input. The shuffle files of the write go as it ends. The table
     goes by release, or before a later table is written once no DataFrame, plan or cache reads it (an RDD made of one does
-    not count), or when the session's JVM ends.
+    not count), or when the session's JVM ends. block: the bytes of its row groups, which tasks don't read in parts.
     """
     spark = df.sparkSession
     sweep(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    with _cleanup(spark):
-        df.write.parquet(path)
+    with _settings(spark, **{_CLEANUP: "true"}):
+        df.write.options(**{"parquet.block.size": block} if block else {}).parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)

@@ -16,7 +16,7 @@ from quern.operators.scans import numbered, running_total
 from quern.sources.binary import read_binary, write_binary
 from quern.sources.generators import histogram, points, unique_keys, zipf_words
 from quern.sources.text import list_files, read_lines, read_pairs, read_records, write_text
-from quern.storage import materialize, parts_for, release, shared_dir, sweep
+from quern.storage import materialize, parts_for, release, shared_dir, small_tasks, sweep
 from quern.streaming import word_counts
 
 
@@ -153,6 +153,19 @@ def test_degrees_are_counted_in_parts_that_rows_call_for(spark, sf, monkeypatch)
     assert len(dealt) >= 2 and all(", 7), REPARTITION_BY_NUM" in line for line in dealt) and set(rows) == {spark.read.parquet(f"{sf}/lineitem.parquet").count()}
 
 
+def test_search_in_small_tasks(spark):
+    """A vertex joined to all, in tasks of a bound; the session's settings are as before, also after an error."""
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes"]
+    before = [spark.conf.get(k) for k in keys]
+    spokes = spark.range(1, 2001).selectExpr("cast(0 AS bigint) AS src", "id AS dst")
+    tree = graph.search(spokes.union(spokes.selectExpr("dst AS src", "src AS dst")), 5)
+    assert sorted(map(tuple, tree.groupBy("level").count().collect())) == [(0, 1), (1, 1), (2, 1999)] and tree.where("level = 2 AND parent <> 0").isEmpty()
+    with pytest.raises(ZeroDivisionError), small_tasks(spark, 10_000_000):
+        assert [spark.conf.get(k) for k in keys] == ["20", str(16 << 20), str(16 << 20), str(64 << 20)]
+        1 / 0
+    assert [spark.conf.get(k) for k in keys] == before
+
+
 def test_records_of_a_boundary_of_the_users(spark, tmp_path):
     """Records of five bytes, whatever they are, across chunks; and files that Spark's readers pass over."""
     (tmp_path / "a").write_bytes(b"ab\nde" * 1000)
