@@ -30,10 +30,11 @@ def parse_integer(text: Column) -> Column:
     hexa = F.regexp_extract(t, r"^\+?0[xX]([0-9a-fA-F]+)", 1)
     octal = F.regexp_extract(t, r"^\+?0([0-7]*)", 1)
     decimal = F.regexp_extract(t, r"^\+?([1-9][0-9]*)", 1)
-    return (
+    plain = F.when(F.substring(text, 1, 1).between("1", "9"), text.try_cast("long"))  # most texts, without an expression
+    return F.coalesce(plain, (
         F.when(text.isNull(), F.lit(None))
         .when(hexa != "", F.conv(hexa, 16, 10)).when(decimal != "", decimal).when(octal != "", F.conv(octal, 8, 10)).otherwise("0")
-    ).try_cast("long")
+    ).try_cast("long"))
 
 
 @F.pandas_udf(T.StringType())

@@ -391,7 +391,7 @@ def file_bfs(spark, d):
     edges = _graph(spark, d)
     loops = edges.where("src % 2 = 0").select("src", F.col("src").alias("dst")).distinct()
     both = edges.union(loops)
-    read = graph.edges_of(read_pairs(spark, _written(spark, both.select(formatted(both)), "edges"), numbers=True))
+    read = graph.written(graph.edges_of(read_pairs(spark, _written(spark, both.select(formatted(both)), "edges"), numbers=True)))
     tree = graph.search(read, read.agg(F.min("src")).first()[0])
     back = read_pairs(spark, _written(spark, tree.select(F.concat_ws(" ", "v", "level")), "levels"), numbers=True)
     return back.select(F.col("key").alias("v"), F.col("value").cast("int").alias("level"))

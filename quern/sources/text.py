@@ -46,7 +46,7 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], separator: str =
             spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     if hidden:
         parts.append(read_records(spark, hidden, at_separator(separator)))
-    return reduce(DataFrame.unionAll, parts).select(F.explode(F.split("value", "\\x00")).alias("value"))
+    return reduce(DataFrame.unionAll, parts).select(F.explode(F.split("value", "\0")).alias("value"))
 
 
 def at_separator(separator: str) -> Callable[[bytes, bool], tuple[list[bytes], bytes]]:

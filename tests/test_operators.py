@@ -166,6 +166,16 @@ def test_search_in_small_tasks(spark):
     assert [spark.conf.get(k) for k in keys] == before
 
 
+def test_written_edges_are_searched_as_they_are(spark):
+    """A table of edges isn't written (and its source not made) again by the search in it."""
+    folder = shared_dir(spark).removeprefix("file:")
+    edges = graph.written(spark.createDataFrame([(0, 1), (1, 2)], "src long, dst long"))
+    before = {n for n in os.listdir(folder) if n.startswith("edges-")}
+    assert graph.search(edges, 0).count() == 3 and graph.written(edges) is edges
+    assert not {n for n in os.listdir(folder) if n.startswith("edges-")} - before
+    assert graph.search(edges.selectExpr("dst AS src", "src AS dst"), 2).count() == 3
+
+
 def test_records_of_a_boundary_of_the_users(spark, tmp_path):
     """Records of five bytes, whatever they are, across chunks; and files that Spark's readers pass over."""
     (tmp_path / "a").write_bytes(b"ab\nde" * 1000)
